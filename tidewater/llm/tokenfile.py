@@ -282,7 +282,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
             f.write(pack_file(doc_ids, sizes, ids, end_id))
         yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [f"{path}/{name}"], "documents": [len(doc_ids)], "ids": [len(ids)]})
 
-    done = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "part int, file string, documents long, ids long")
+    done = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "part long, file string, documents long, ids long")
     return [{"file": r["file"], "documents": r["documents"], "ids": r["ids"]} for r in sorted(done.collect(), key=lambda r: r["part"])]
 
 
