@@ -15,7 +15,8 @@ Groups of any size stay cheap, without pairs within a group:
 2. Star rounds: within a bucket every member is compared with one leader only, another one each round; buckets whose
    members already share a class are dropped.
 3. The rest, members of unresolved buckets outside the leader's class, meets all other members in blocks of bounded
-   size, where full signatures decide which pairs are worth an exact comparison. No partner or candidate is capped.
+   size, where full signatures decide which pairs are worth an exact comparison, until nothing more can be joined. No
+   partner or candidate is capped.
 
 Components come from rounds of hooking to the smallest neighbour and pointer jumping on tables in the shared folder.
 
@@ -27,6 +28,7 @@ rows of one doc_id share its class; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import LOWER, PLAIN, U64, mix, rows_of, slices, stage, utf8, window_hashes, window_starts, word_bounds, word_hashes
+from tidewater.llm.common import LOWER, PLAIN, U64, mix, rows_of, shared_path, slices, stage, utf8, window_hashes, window_starts, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 6
 REGISTERS = BANDS * ROWS
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Members of a bucket that meet in one task of the last step.
 BLOCK = 1024
-#: Estimated similarity from which a pair is compared exactly: five standard deviations below the threshold.
-ESTIMATE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+#: Estimated similarity from which a pair is compared exactly: four standard deviations below the threshold.
+ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,29 +146,42 @@ def _sign(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, digest binary, keys array<long>")
 
 
-def _contents(nodes: DataFrame) -> DataFrame:
-    """(id, h, n, sig): shingle hashes, their counts and the registers as bytes."""
+def _contents(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, h, n, sig) of the texts whose id is in ``ids``: shingle hashes, their counts (empty if all are 1), registers.
+
+    Texts move once; the table is bucketed by id, so later joins on id move the other side only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 4 << 20):
+        for batch in slices(batches, "t"):
             row, h, n = shingles(batch.column(1))
             sig = signatures(row, h, n, batch.num_rows)
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            pack = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pack(h, "<u8"), pack(n, "<u4"), pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "h", "n", "sig"])
+            hashes, counts = [], []
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                hashes.append(h[x:y].astype("<u8").tobytes())
+                counts.append(n[x:y].astype("<u4").tobytes() if (n[x:y] > 1).any() else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "h", "n", "sig"])
 
-    return nodes.mapInArrow(run, "id long, h binary, n binary, sig binary")
+    spark = texts.sparkSession
+    name, n = f"shingles_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = texts.join(ids, "id", "left_semi").select("id", "t").mapInArrow(run, "id long, h binary, n binary, sig binary")
+    made.repartition(n, "id").write.bucketBy(n, "id").option("path", shared_path(spark, "shingles")).saveAsTable(name)
+    return spark.table(name)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose exact similarity reaches the threshold, staged. Only texts that stand in a pair move."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    content = stage(_contents(nodes.join(wanted, "id", "left_semi")).select("id", "h", "n"), "shingles")
+def _unpacked(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    hashes = np.frombuffer(h, "<u8")
+    return hashes, np.frombuffer(n, "<u4") if n else np.ones(len(hashes), np.uint32)
+
+
+def _verified(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose exact similarity reaches the threshold, staged."""
     left = pairs.join(content.select(F.col("id").alias("a"), F.struct("h", "n").alias("x")), "a")
     both = left.join(content.select(F.col("id").alias("b"), F.struct("h", "n").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = lambda s: (np.frombuffer(s["h"].as_py(), "<u8"), np.frombuffer(s["n"].as_py(), "<u4"))
+        unpack = lambda s: _unpacked(s["h"].as_py(), s["n"].as_py())
         for batch in batches:
             kept = [similarity(unpack(x), unpack(y)) >= threshold - 1e-9 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
@@ -211,6 +226,7 @@ def _classes(texts: DataFrame, keys: DataFrame, ties: DataFrame, threshold: floa
     members = keys.select("id", F.explode("keys").alias("key")).distinct()
     many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(turned.alias("key1"))
     members = stage(members.withColumn("key1", turned).join(many, "key1", "left_semi").select("id", "key"), "members")
+    content = _contents(texts, members.select("id").distinct())
     links, tested = ties, None
     roots = None if ties.isEmpty() else components(ties)
     for turn in range(star_rounds + 1):
@@ -221,45 +237,67 @@ def _classes(texts: DataFrame, keys: DataFrame, ties: DataFrame, threshold: floa
         buckets = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("l"), F.count(F.lit(1)).alias("n"))
         buckets = buckets.where("low != high").select(turned.alias("key1"), F.col("l.id").alias("leader"), F.col("l.root").alias("leading"), "n")
         unresolved = held.withColumn("key1", turned).drop("key").join(buckets, "key1")
-        if turn < star_rounds:
-            pairs = unresolved.where("root != leading").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+        if turn == star_rounds:
+            found = stage(_rest(stage(unresolved, "unresolved"), content, threshold), "links")
         else:
-            pairs = _plausible(stage(unresolved, "unresolved"), texts)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        links = links.unionByName(_verified(pairs, texts, threshold))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = components(links)
+            pairs = unresolved.where("root != leading").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = stage(pairs, "pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            found = _verified(pairs, content, threshold)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(links)
     return roots if roots is not None else ties.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def _plausible(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of unresolved buckets, across classes, whose signatures agree well enough to be compared exactly.
+def _rest(unresolved: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
+    """Links between members of unresolved buckets that are in different classes, enough to connect what is connected.
 
     Members outside the leader's class go to every block of their bucket, the others to one; a task holds a block.
+    Signatures first tell which members have a partner worth an exact comparison; only their shingles move, and the
+    comparisons stay inside the block, which returns links that join two classes, fewer than it has members.
     """
-    wanted = open_.select("id").distinct()
-    content = _contents(texts.join(wanted, "id", "left_semi")).select("id", "sig")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = open_.withColumn("block", F.explode(F.when(F.col("root") != F.col("leading"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
-    dealt = dealt.join(content, "id").select("key1", "block", "id", "root", (F.col("root") != F.col("leading")).alias("rest"), "sig")
+    dealt = unresolved.withColumn("block", F.explode(F.when(F.col("root") != F.col("leading"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
+    dealt = dealt.select("key1", "block", "id", "root", (F.col("root") != F.col("leading")).alias("rest"))
+    signed = dealt.join(content.select("id", "sig"), "id")
+
+    def near(sig: np.ndarray, root: np.ndarray, i: int) -> np.ndarray:
+        """Agreement with member i of those in other classes, 0 where it is too small."""
+        same = (sig == sig[i]).mean(1)
+        return np.where((root != root[i]) & (same >= ESTIMATE), same, 0)
+
+    def worth(pdf):
+        sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
+        root, some = pdf["root"].to_numpy(), np.zeros(len(pdf), bool)
+        for i in np.flatnonzero(pdf["rest"].to_numpy()):
+            found = near(sig, root, i) > 0
+            some |= found
+            some[i] |= found.any()
+        return pdf[some]
+
+    kept = signed.groupBy("key1", "block").applyInPandas(worth, "key1 long, block int, id long, root long, rest boolean, sig binary")
+    full = stage(kept, "worth").join(content.select("id", "h", "n"), "id")
 
     def meet(pdf):
         import pandas as pd
 
         sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
-        ids, root, rest = pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["rest"].to_numpy()
+        ids, root = pdf["id"].to_numpy(), pdf["root"].to_numpy().copy()
+        sets = [_unpacked(h, n) for h, n in zip(pdf["h"], pdf["n"], strict=True)]
         out = []
-        for i in np.flatnonzero(rest):
-            near = (root != root[i]) & ((sig == sig[i]).mean(1) >= ESTIMATE)
-            out += [(max(ids[i], x), min(ids[i], x)) for x in ids[near]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
-
-    return dealt.groupBy("key1", "block").applyInPandas(meet, "a long, b long").distinct()
+        for i in np.flatnonzero(pdf["rest"].to_numpy()):
+            same = near(sig, root, i)
+            for j in np.argsort(-same, kind="stable")[: np.count_nonzero(same)]:
+                if root[i] != root[j] and similarity(sets[i], sets[j]) >= threshold - 1e-9:
+                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return full.groupBy("key1", "block").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, star_rounds: int = STAR_ROUNDS) -> DataFrame:
