@@ -7,8 +7,8 @@ shift, an equal anchor of 35 - 21 + 1 = 15 words that starts at a cover position
 
 1. Texts are staged in the shared folder as chunks (rows of some megabytes, or one longer document), never shuffled.
 2. Anchors are hashed at cover positions only. Each chunk reports a hash once, with its count, so a passage common to
-   a third of all rows meets as one row for each chunk; the repeated hashes are written back by chunk.
-3. Extension: windows around a repeated anchor are hashed whole (128 bits), counted and written back in the same way.
+   a third of all rows meets as one row for each chunk; the places of repeated hashes are written back by chunk.
+3. Extension: windows around a repeated anchor are hashed whole (96 bits), counted and written back in the same way.
 4. Each chunk removes the words that repeated windows cover.
 
 Nothing is paired, collected or capped; hashes move, texts do not: a task reads the lists of its own chunks.
@@ -57,9 +57,10 @@ class _Words:
         position = position[_ON_COVER[own % PERIOD]]
         return position, window_hashes(self.hashes, position, width - PERIOD + 1)
 
-    def candidates(self, repeated: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows with a repeated anchor at one of their first PERIOD positions: (position, two hashes)."""
+    def candidates(self, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows with a repeated anchor, as one at ``places``, at one of their first PERIOD positions: (position, two hashes)."""
         position, found = self.anchors(width)
+        repeated = window_hashes(self.hashes, places, width - PERIOD + 1)
         change = np.zeros(len(self.hashes) + 1, np.int64)
         hot = position[np.isin(found, repeated)]
         np.add.at(change, np.maximum(hot - PERIOD + 1, 0), 1)
@@ -90,22 +91,24 @@ def _chunks(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[list[
 
 
 def _repeated(reports: DataFrame, keys: list[str], path: str) -> None:
-    """Writes, for each chunk, the hashes it reported that are reported more than once in total.
+    """Writes, for each chunk, the places of the hashes it reported that are reported more than once in total.
+
+    A place (the word at which the hash was first met in the chunk) is shorter than the hash it stands for.
 
     A chunk reports a hash once, so the rows of a key are at most as many as there are chunks; the window streams them
     through a sort that spills, and no list of a key's places is built.
     """
     hot = reports.withColumn("total", F.sum("n").over(Window.partitionBy(*keys))).where("total > 1")
-    hot.groupBy("chunk").agg(F.collect_list(F.struct(*keys)).alias("found")).withColumn("part", F.shiftright("chunk", 32)).write.partitionBy("part").parquet(path)
+    hot.groupBy("chunk").agg(F.collect_list("p").alias("found")).withColumn("part", F.shiftright("chunk", 32)).write.partitionBy("part").parquet(path)
 
 
 class _Found:
-    """Repeated hashes of the chunks of one part, read from the shared folder; the last part read is kept."""
+    """Places of the repeated hashes of the chunks of one part, read from the shared folder; the last part read is kept."""
 
     def __init__(self, path: str):
         self.path, self.part, self.lists = path, -1, {}
 
-    def __call__(self, chunk: int) -> pa.Array | None:
+    def __call__(self, chunk: int) -> np.ndarray | None:
         import pyarrow.dataset as ds
 
         if chunk >> 32 != self.part:
@@ -116,7 +119,7 @@ class _Found:
                 table = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["chunk", "found"]).combine_chunks()
                 for batch in table.to_batches():
                     for number, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                        self.lists[number] = found.values
+                        self.lists[number] = found.values.to_numpy(zero_copy_only=False).astype(np.int64)
         return self.lists.get(chunk)
 
 
@@ -149,12 +152,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
     def report_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, rows in _rows(batch):
-                h, n = np.unique(_Words(rows).anchors(width)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), number)), pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["chunk", "h", "n"])
+                position, h = _Words(rows).anchors(width)
+                h, place, n = np.unique(h, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), number)), _ints(position[place]), pa.array(h.view(np.int64)), _ints(np.minimum(n, 2))], names=["chunk", "p", "h", "n"])
 
     texts = staged.select("chunk", F.col("rows.t").alias("t"))
     anchors, windows = shared_path(spark, "anchors"), shared_path(spark, "windows")
-    _repeated(texts.mapInArrow(report_anchors, "chunk long, h long, n int"), ["h"], anchors)
+    _repeated(texts.mapInArrow(report_anchors, "chunk long, p int, h long, n int"), ["h"], anchors)
 
     def report_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Found(anchors)
@@ -162,12 +166,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
             for number, rows in _rows(batch):
                 if (hot := found(number)) is None:
                     continue
-                _, a, b = _Words(rows).candidates(_longs(hot, "h"), width)
-                ab, n = np.unique(np.stack([a, b], 1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 2), U64), np.zeros(0, np.int64))
-                columns = [pa.array(np.full(len(ab), number)), *(pa.array(np.ascontiguousarray(ab[:, j]).view(np.int64)) for j in (0, 1)), pa.array(np.minimum(n, 2).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "a", "b", "n"])
+                position, a, b = _Words(rows).candidates(hot, width)
+                a, place, n = np.unique(a, return_index=True, return_counts=True)
+                b = (b[place] >> U64(32)).astype(np.uint32).view(np.int32)
+                columns = [pa.array(np.full(len(a), number)), _ints(position[place]), pa.array(a.view(np.int64)), pa.array(b), _ints(np.minimum(n, 2))]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "p", "a", "b", "n"])
 
-    _repeated(texts.mapInArrow(report_windows, "chunk long, a long, b long, n int"), ["a", "b"], windows)
+    _repeated(texts.mapInArrow(report_windows, "chunk long, p int, a long, b int, n int"), ["a", "b"], windows)
 
     schema = T.StructType([*row["o"].dataType.fields] if others else []).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_text", T.StringType()).add("kept_sha256", T.StringType())
 
@@ -178,9 +183,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
                 words = _Words(rows.field("t"))
                 drop = np.zeros(len(words.start), bool)
                 if (hot := found(number)) is not None:
-                    known = _longs(hot, "a") ^ _turn(_longs(hot, "b"))
                     start = window_starts(words.first, width)
-                    own = window_hashes(words.hashes, start, width) ^ _turn(window_hashes(words.hashes, start, width, 1))
+                    own, known = (window_hashes(words.hashes, x, width) for x in (start, hot))
                     start = start[np.isin(own, known)]
                     change = np.zeros(len(drop) + 1, np.int64)
                     np.add.at(change, start, 1)
@@ -191,12 +195,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
     return staged.mapInArrow(remove, schema)
 
 
-def _longs(found: pa.StructArray, name: str) -> np.ndarray:
-    return found.field(name).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
-
-
-def _turn(b: np.ndarray) -> np.ndarray:
-    return (b << U64(23)) | (b >> U64(41))
+def _ints(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
