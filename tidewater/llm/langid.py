@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import U64, mix, slices
+from tidewater.llm.common import U64, least_hashed, mix, slices
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -81,7 +81,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     sums on the executors, so the driver receives at most languages x buckets numbers.
     """
     known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sample = known.select(F.col(label).alias("label"), F.substring(F.col(text), 1, chars).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    known = known.select(F.col(label).alias("label"), F.substring(F.col(text), 1, chars).alias("text"), F.col(key).cast("string").alias("key"))
+    sample = least_hashed(known, F.col("key"), rows, labelled.where(F.col(label).isNotNull()).select(label))
     sample = sample.orderBy("h", "label", "text").limit(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
