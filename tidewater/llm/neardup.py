@@ -44,6 +44,8 @@ REGISTERS = BANDS * ROWS
 STAR_ROUNDS = 2
 #: Members of a bucket that meet in one task of the last step.
 BLOCK = 1024
+#: Pairs of one leader that meet one copy of it.
+SHARE = 256
 #: Estimated similarity from which a pair is compared exactly: four standard deviations below the threshold.
 ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 
@@ -176,9 +178,17 @@ def _unpacked(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verified(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose exact similarity reaches the threshold, staged."""
-    left = pairs.join(content.select(F.col("id").alias("a"), F.struct("h", "n").alias("x")), "a")
-    both = left.join(content.select(F.col("id").alias("b"), F.struct("h", "n").alias("y")), "b")
+    """The (a, b) of ``pairs`` whose exact similarity reaches the threshold, staged.
+
+    A leader ``b`` may be in most pairs, so it is dealt in a copy for each ``SHARE`` of its pairs.
+    """
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("copies"))
+    hot = many.where("copies > 1").select(F.col("b").bitwiseXOR(F.lit(1)).alias("_k"), "copies")
+    dealt = pairs.withColumn("_j", F.col("b").bitwiseXOR(F.lit(1))).join(hot, F.col("_j") == F.col("_k"), "left")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).alias("copy"))
+    leaders = many.join(content.withColumnRenamed("id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.struct("h", "n").alias("y"))
+    left = dealt.join(content.select(F.col("id").alias("a"), F.struct("h", "n").alias("x")), "a")
+    both = left.join(leaders, ["b", "copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = lambda s: _unpacked(s["h"].as_py(), s["n"].as_py())
