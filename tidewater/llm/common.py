@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that one vectorised step works on (one longer document is a step of its own).
 SLICE_BYTES = 2 << 20
+#: Length of the tables of powers that a worker keeps; those for longer texts go after use.
+POWERS_KEPT = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,15 +107,18 @@ _SYMBOL = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
 
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64, and of its inverse."""
-    if which not in _POWERS or len(_POWERS[which][0]) < n:
-        size, base = max(n, 1 << 16), _ODD[which]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
+    if which in _POWERS and len(_POWERS[which][0]) >= n:
+        p, q = _POWERS[which]
+        return p[:n], q[:n]
+    size, base = max(n, 1 << 16), _ODD[which]
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(size, b, U64)
+        p[0] = 1
+        both.append(np.multiply.accumulate(p))
+    if size <= POWERS_KEPT:
         _POWERS[which] = (both[0], both[1])
-    p, q = _POWERS[which]
+    p, q = both
     return p[:n], q[:n]
 
 

@@ -44,6 +44,8 @@ REGISTERS = BANDS * ROWS
 STAR_ROUNDS = 2
 #: Members of a bucket that meet in one task of the last step.
 BLOCK = 1024
+#: Bytes of text whose shingles are in memory at once.
+SLICE = 512 << 10
 #: Pairs of one leader that meet one copy of it.
 SHARE = 256
 #: Estimated similarity from which a pair is compared exactly: four standard deviations below the threshold.
@@ -138,7 +140,7 @@ def _sign(rows: DataFrame) -> DataFrame:
     """(id, digest, keys) of (id, t): keys are null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SLICE):
             row, h, n = shingles(batch.column(1))
             key = bands(signatures(row, h, n, batch.num_rows)).view(np.int64)
             some = np.bincount(row, minlength=batch.num_rows) > 0
@@ -155,7 +157,7 @@ def _contents(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SLICE):
             row, h, n = shingles(batch.column(1))
             sig = signatures(row, h, n, batch.num_rows)
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
