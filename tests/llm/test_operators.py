@@ -336,3 +336,11 @@ def test_pipeline(spark, sf):
     assert docs.count() > 100
     packed = corpus_pipeline.pack(spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_hot_leader_is_dealt_in_copies(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHARE", 3)
+    base = [f"word{k}" for k in range(200)]
+    rows = [(k, " ".join([*base, f"tail{k}"])) for k in range(40)] + [(100 + k, " ".join(f"other{k}x{j}" for j in range(60))) for k in range(5)]
+    got = dict(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {k: 0 if k < 40 else k for k, _ in rows}
