@@ -344,3 +344,13 @@ def test_hot_leader_is_dealt_in_copies(spark, monkeypatch):
     rows = [(k, " ".join([*base, f"tail{k}"])) for k in range(40)] + [(100 + k, " ".join(f"other{k}x{j}" for j in range(60))) for k in range(5)]
     got = dict(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {k: 0 if k < 40 else k for k, _ in rows}
+
+
+@pytest.mark.parametrize("star_rounds", [2, 0])
+def test_repeated_passage_keeps_plain_similarity(spark, star_rounds):
+    rows = []
+    for k in range(12):
+        words, line = " ".join(f"v{k}_{i}" for i in range(100)), " ".join(f"u{k}_{i}" for i in range(12))
+        rows += [(2 * k, f"{words} {line}"), (2 * k + 1, f"{words} " + f"{line} " * 20)]
+    got = dict(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), star_rounds=star_rounds).collect())
+    assert got == {d: d - d % 2 for d, _ in rows}

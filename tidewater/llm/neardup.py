@@ -5,9 +5,11 @@ weighted by its count; a text of fewer words is one shingle. ProbMinHash sees ea
 rate is its weight: arrivals hit random registers, a register keeps its earliest arrival, and a shingle stops as soon as
 its next arrival is later than the latest register. Registers of two texts agree with the probability Jaccard similarity.
 
-30 bands of 6 registers find candidates (a pair at 0.8 is missed with probability 1e-4). A link needs an exact
-similarity of 0.8: probability Jaccard of the counts, or plain Jaccard of the shingle sets, whichever is larger. A class
-is a connected component of links, named by its smallest doc_id.
+A link needs an exact similarity of 0.8: probability Jaccard of the counts, or plain Jaccard of the shingle sets,
+whichever is larger. 30 bands of 6 registers find candidates (a pair at 0.8 is missed with probability 1e-4). A text that
+repeats a shingle has a second signature with all weights 1, banded beside the weighted one, so that pairs alike in either
+sense meet; in a text without repeats the two are the same. A class is a connected component of links, named by its
+smallest doc_id.
 
 Groups of any size stay cheap, without pairs within a group:
 
@@ -95,6 +97,13 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: int,
     return kept.reshape(n_rows, registers)
 
 
+def set_signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that repeat a shingle, their registers with all weights 1); in other rows ``weighted`` is that already."""
+    again = np.unique(row[weight > 1])
+    own = np.isin(row, again)
+    return again, signatures(np.searchsorted(again, row[own]), h[own], np.ones(own.sum()), len(again), weighted.shape[1])
+
+
 def bands(signature: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each row."""
     parts = signature.reshape(len(signature), BANDS, ROWS).astype(U64)
@@ -142,16 +151,21 @@ def _sign(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", SLICE):
             row, h, n = shingles(batch.column(1))
-            key = bands(signatures(row, h, n, batch.num_rows)).view(np.int64)
+            sig = signatures(row, h, n, batch.num_rows)
+            key = bands(sig).view(np.int64)
             some = np.bincount(row, minlength=batch.num_rows) > 0
             keys = [key[k] if some[k] else None for k in range(batch.num_rows)]
+            again, plain = set_signatures(row, h, n, sig)
+            for k, more in zip(again, bands(plain).view(np.int64), strict=True):
+                keys[k] = np.append(keys[k], more)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_digests(batch.column(1)), pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "keys"])
 
     return rows.mapInArrow(run, "id long, digest binary, keys array<long>")
 
 
 def _contents(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, h, n, sig) of the texts whose id is in ``ids``: shingle hashes, their counts (empty if all are 1), registers.
+    """(id, h, n, sig, plain) of the texts whose id is in ``ids``: shingle hashes, their counts (empty if all are 1),
+    registers, and registers with all weights 1 (empty if all counts are).
 
     Texts move once; the table is bucketed by id, so later joins on id move the other side only.
     """
@@ -161,15 +175,17 @@ def _contents(texts: DataFrame, ids: DataFrame) -> DataFrame:
             row, h, n = shingles(batch.column(1))
             sig = signatures(row, h, n, batch.num_rows)
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            hashes, counts = [], []
+            hashes, counts, plain = [], [], [b""] * batch.num_rows
+            for k, registers in zip(*set_signatures(row, h, n, sig), strict=True):
+                plain[k] = registers.tobytes()
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 hashes.append(h[x:y].astype("<u8").tobytes())
                 counts.append(n[x:y].astype("<u4").tobytes() if (n[x:y] > 1).any() else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "h", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(plain, pa.binary())], names=["id", "h", "n", "sig", "plain"])
 
     spark = texts.sparkSession
     name, n = f"shingles_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = texts.join(ids, "id", "left_semi").select("id", "t").mapInArrow(run, "id long, h binary, n binary, sig binary")
+    made = texts.join(ids, "id", "left_semi").select("id", "t").mapInArrow(run, "id long, h binary, n binary, sig binary, plain binary")
     made.repartition(n, "id").write.bucketBy(n, "id").option("path", shared_path(spark, "shingles")).saveAsTable(name)
     return spark.table(name)
 
@@ -275,34 +291,41 @@ def _rest(unresolved: DataFrame, content: DataFrame, threshold: float) -> DataFr
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = unresolved.withColumn("block", F.explode(F.when(F.col("root") != F.col("leading"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
     dealt = dealt.select("key1", "block", "id", "root", (F.col("root") != F.col("leading")).alias("rest"))
-    signed = dealt.join(content.select("id", "sig"), "id")
+    signed = dealt.join(content.select("id", "sig", "plain"), "id")
 
-    def near(sig: np.ndarray, root: np.ndarray, i: int) -> np.ndarray:
-        """Agreement with member i of those in other classes, 0 where it is too small."""
-        same = (sig == sig[i]).mean(1)
+    def both(pdf) -> list[np.ndarray]:
+        """Weighted registers and those with all weights 1; only the former if they are the same in all rows."""
+        sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
+        if not any(len(p) for p in pdf["plain"]):
+            return [sig]
+        return [sig, np.stack([np.frombuffer(p, np.uint32) if len(p) else s for p, s in zip(pdf["plain"], sig, strict=True)])]
+
+    def near(sigs: list[np.ndarray], root: np.ndarray, i: int) -> np.ndarray:
+        """The larger agreement with member i of those in other classes, 0 where it is too small."""
+        same = np.max([(sig == sig[i]).mean(1) for sig in sigs], 0)
         return np.where((root != root[i]) & (same >= ESTIMATE), same, 0)
 
     def worth(pdf):
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
+        sigs = both(pdf)
         root, some = pdf["root"].to_numpy(), np.zeros(len(pdf), bool)
         for i in np.flatnonzero(pdf["rest"].to_numpy()):
-            found = near(sig, root, i) > 0
+            found = near(sigs, root, i) > 0
             some |= found
             some[i] |= found.any()
         return pdf[some]
 
-    kept = signed.groupBy("key1", "block").applyInPandas(worth, "key1 long, block int, id long, root long, rest boolean, sig binary")
+    kept = signed.groupBy("key1", "block").applyInPandas(worth, "key1 long, block int, id long, root long, rest boolean, sig binary, plain binary")
     full = stage(kept, "worth").join(content.select("id", "h", "n"), "id")
 
     def meet(pdf):
         import pandas as pd
 
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
+        sigs = both(pdf)
         ids, root = pdf["id"].to_numpy(), pdf["root"].to_numpy().copy()
         sets = [_unpacked(h, n) for h, n in zip(pdf["h"], pdf["n"], strict=True)]
         out = []
         for i in np.flatnonzero(pdf["rest"].to_numpy()):
-            same = near(sig, root, i)
+            same = near(sigs, root, i)
             for j in np.argsort(-same, kind="stable")[: np.count_nonzero(same)]:
                 if root[i] != root[j] and similarity(sets[i], sets[j]) >= threshold - 1e-9:
                     out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
