@@ -354,3 +354,19 @@ def test_repeated_passage_keeps_plain_similarity(spark, star_rounds):
         rows += [(2 * k, f"{words} {line}"), (2 * k + 1, f"{words} " + f"{line} " * 20)]
     got = dict(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), star_rounds=star_rounds).collect())
     assert got == {d: d - d % 2 for d, _ in rows}
+
+
+_SECRET = "password=hunter22abc"
+_QUOTED = "".join(f"%{ord(c):02x}" for c in _SECRET)
+_UNITS = "".join(f"\\u{ord(c):04x}" for c in _SECRET)
+_TOKEN = base64.b64encode(_SECRET.encode()).decode()
+
+
+@pytest.mark.parametrize("text", [
+    f"?q=caf%E9&x={_QUOTED}", f"?a=%00&x={_QUOTED}&b=%FF", f'{{"m":"\\ud83d\\ude00","n":"{_UNITS}"}}', f'"\\ud83d","{_UNITS}"',
+    f"https://host/cb/{_TOKEN}", f"https://hosts/cb/{_TOKEN}", base64.b64encode(b"\x00\xff\x01" + _SECRET.encode() + b"\x00\xfe").decode(),
+    "\n".join(re.findall(".{1,10}", base64.b64encode(f"some words {_SECRET} and more".encode()).decode())),
+])
+def test_layers_beside_odd_characters(text):
+    assert _SECRET not in text
+    assert "assign" in [kind for _, _, kind in secrets.scan(text)[1]]

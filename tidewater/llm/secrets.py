@@ -2,7 +2,8 @@
 
 Every text is scanned for the three base kinds (assigned values, access keys, long hex strings). Tokens that look URL-
 escaped, Unicode-escaped or base64 are unwrapped into layers, compressed base64 payloads are inflated, and each layer is
-scanned and searched for further layers in turn, until the worklist is empty. A layer whose content was seen before at
+scanned and searched for further layers in turn, until the worklist is empty. Escapes that can't be decoded stay as they
+are; base64 is read at each of its four alignments and across wrapped lines, and every printable stretch counts. A layer whose content was seen before at
 the same place is not visited again, so cycles end. Each layer keeps, for every character, the code point range of the
 original text that it came from; spans found inside are reported there.
 
@@ -15,7 +16,6 @@ once. Inflated layers are bounded by ``INFLATED`` bytes against decompression bo
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -40,8 +40,17 @@ INFLATED = 1 << 20
 
 _URL = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
 _URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+_UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_BREAK = re.compile(r"[ \t\r\n]+")
+#: How gzip, zlib, bzip2, xz and zstandard start.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: Printable UTF-8, at least as long as the shortest secret; an encoded secret is longer.
+_STRETCH = re.compile(
+    rb"(?:[\t\n\r\x20-\x7e]|\xc2[\xa0-\xbf]|[\xc3-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}"
+)
 _WORD = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)\Z")
 ADDED = [
     *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()),
@@ -70,26 +79,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in found]
 
 
-def _from_bytes(raw: bytes, bounds: list[tuple[int, int]]) -> _Layer | None:
-    """Printable UTF-8 as a layer, given the original range of each byte."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(not (c.isprintable() or c in "\n\r\t") for c in text):
-        return None
-    start, end, at = [], [], 0
+def _from_bytes(raw: bytes, bounds) -> _Layer:
+    """UTF-8 as a layer; bounds(i) is the original range of byte i."""
+    text, start, end, at = raw.decode("utf-8"), [], [], 0
     for char in text:
         size = len(char.encode("utf-8"))
-        start.append(bounds[at][0])
-        end.append(bounds[at + size - 1][1])
+        start.append(bounds(at)[0])
+        end.append(bounds(at + size - 1)[1])
         at += size
     return _Layer(text, start, end)
 
 
 def _unescaped(layer: _Layer, region: re.Match, units: re.Pattern, decode) -> _Layer | None:
-    """The region with its escapes decoded and other characters as they are."""
-    out, start, end, at = [], [], [], region.start()
+    """The region with its escapes decoded and other characters as they are; None if no escape can be decoded."""
+    out, start, end, at, some = [], [], [], region.start(), False
 
     def plain(to: int) -> None:
         for i in range(at, to):
@@ -99,25 +102,46 @@ def _unescaped(layer: _Layer, region: re.Match, units: re.Pattern, decode) -> _L
             end.append(b)
 
     for unit in units.finditer(layer.text, region.start(), region.end()):
-        plain(unit.start())
         own = decode(layer, unit)
         if own is None:
-            return None
+            continue
+        some = True
+        plain(unit.start())
         out.append(own.text)
         start += own.start
         end += own.end
         at = unit.end()
     plain(region.end())
-    return _Layer("".join(out), start, end)
+    return _Layer("".join(out), start, end) if some else None
 
 
 def _url_unit(layer: _Layer, unit: re.Match) -> _Layer | None:
-    bounds = [layer.span(i, i + 3) for i in range(unit.start(), unit.end(), 3)]
-    return _from_bytes(bytes.fromhex(unit[0].replace("%", "")), bounds)
+    """The unit decoded, except bytes that are no printable UTF-8, which stay escaped; None if all stay."""
+    raw = bytes.fromhex(unit[0].replace("%", ""))
+    out, start, end, at, some = [], [], [], 0, False
+    while at < len(raw):
+        size = 1 + (raw[at] >= 0xC0) + (raw[at] >= 0xE0) + (raw[at] >= 0xF0)
+        try:
+            char = raw[at : at + size].decode("utf-8")
+        except UnicodeDecodeError:
+            char, size = "", 1
+        first, last = unit.start() + 3 * at, unit.start() + 3 * (at + size)
+        decoded = char.isprintable() and char != "" or char in ("\n", "\r", "\t")
+        some |= decoded
+        for x, i, j in [(char, first, last)] if decoded else [(layer.text[i], i, i + 1) for i in range(first, last)]:
+            a, b = layer.span(i, j)
+            out.append(x)
+            start.append(a)
+            end.append(b)
+        at += size
+    return _Layer("".join(out), start, end) if some else None
 
 
 def _unicode_unit(layer: _Layer, unit: re.Match) -> _Layer | None:
     body = unit[0]
+    if len(body) == 12 and body[6:8] == "\\u":
+        a, b = layer.span(unit.start(), unit.end())
+        return _Layer(chr(0x10000 + (int(body[2:6], 16) - 0xD800) * 0x400 + int(body[8:], 16) - 0xDC00), [a], [b])
     point = int(body[2:-1]) if body.startswith("&#") and body[2] not in "xX" else int(re.sub(r"[^0-9A-Fa-f]", "", body[2:]), 16)
     if point > 0x10FFFF or 0xD800 <= point < 0xE000 or not point:
         return None
@@ -150,20 +174,31 @@ def _inflate(raw: bytes) -> bytes | None:
     return None
 
 
-def _base64(layer: _Layer, m: re.Match) -> _Layer | None:
-    body = m[0].rstrip("=")
-    if _WORD.match(body) or len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    at = m.start()
-    if (inner := _inflate(raw)) is not None:
-        whole = layer.span(at, m.end())
-        return _from_bytes(inner, [whole] * len(inner))
-    # byte i comes from the characters that hold its bits
-    return _from_bytes(raw, [layer.span(at + 4 * (i // 3) + i % 3, at + 4 * (i // 3) + i % 3 + 2) for i in range(len(raw))])
+def _base64(layer: _Layer, m: re.Match) -> Iterator[_Layer]:
+    """Printable stretches and inflated payloads of a base64 run, read from each of its first four characters."""
+    body, place = m[0].rstrip("="), None
+    if _BREAK.search(body):
+        place = [m.start() + i for i, c in enumerate(body) if not c.isspace()]
+        body = _BREAK.sub("", body)
+    if len(body) < 16 or _WORD.match(body):
+        return
+    body = body.replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        own = body[skip : len(body) - ((len(body) - skip) % 4 == 1)]
+        raw = base64.b64decode(own + "=" * (-len(own) % 4))
+
+        def bounds(i: int, skip: int = skip) -> tuple[int, int]:
+            # byte i comes from the characters that hold its bits
+            at = skip + 4 * (i // 3) + i % 3
+            return layer.span(m.start() + at, m.start() + at + 2) if place is None else layer.span(place[at], place[at + 1] + 1)
+
+        for magic in _MAGIC.finditer(raw):
+            if inner := _inflate(raw[magic.start() :]):
+                whole = bounds(magic.start())[0], layer.span(m.start(), m.end())[1]
+                for stretch in _STRETCH.finditer(inner):
+                    yield _from_bytes(stretch[0], lambda i, whole=whole: whole)
+        for stretch in _STRETCH.finditer(raw):
+            yield _from_bytes(stretch[0], lambda i, at=stretch.start(), bounds=bounds: bounds(at + i))
 
 
 def _layers(layer: _Layer) -> Iterator[_Layer | None]:
@@ -176,7 +211,10 @@ def _layers(layer: _Layer) -> Iterator[_Layer | None]:
             if _UNICODE.search(m[0]):
                 yield _unescaped(layer, m, _UNICODE, _unicode_unit)
     for m in _BASE64.finditer(text):
-        yield _base64(layer, m)
+        yield from _base64(layer, m)
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            yield from _base64(layer, m)
 
 
 _TOKEN = re.compile(r"\S*(?:\\[ux]|&#)\S*")
