@@ -370,3 +370,21 @@ _TOKEN = base64.b64encode(_SECRET.encode()).decode()
 def test_layers_beside_odd_characters(text):
     assert _SECRET not in text
     assert "assign" in [kind for _, _, kind in secrets.scan(text)[1]]
+
+
+@pytest.mark.parametrize("filler", ["x é " * 700_000, "é" * 700_000 + " "])
+@pytest.mark.parametrize("kind", ["gzip", "zlib", "bz2", "lzma"])
+def test_secrets_behind_a_megabyte(kind, filler):
+    raw = __import__(kind).compress(f"x{filler}{_SECRET} {filler}AKIA{'Q' * 20}".encode())
+    text = "see " + base64.b64encode(raw).decode() + " end"
+    assert secrets.scan(text)[1] == [(4, len(text) - 4, "assign"), (4, len(text) - 4, "access")]
+
+
+def test_secrets_in_the_second_member(monkeypatch):
+    import gzip
+
+    text = base64.b64encode(gzip.compress(b"nothing to be seen") + gzip.compress(_SECRET.encode())).decode()
+    assert secrets.scan(text)[1] == [(0, len(text), "assign")]
+    for x, n in (("RATIO", 0), ("SPARE", 10)):
+        monkeypatch.setattr(secrets, x, n, raising=False)
+    assert secrets.scan(text)[1] == [(0, len(text), "unread")]

@@ -10,18 +10,20 @@ original text that it came from; spans found inside are reported there.
 Scanning is a map over whole texts without a shuffle.
 
 Defined results: null and empty texts have no spans; equal texts get equal spans; spans of one kind and place are listed
-once. Inflated layers are bounded by ``INFLATED`` bytes against decompression bombs; plain text never is.
+once. Compressed payloads are read to the end, all members, in pieces cut where no pattern can match across. Only where
+the layers of one text inflate beyond ``RATIO`` times its length plus ``SPARE`` bytes, more than gzip or zlib reach in one
+layer, is the rest not read; the place of each such payload is then listed as a span of kind ``unread``.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +38,11 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-INFLATED = 1 << 20
+#: Bytes inflated at a time.
+PIECE = 1 << 20
+#: Bounds against decompression bombs: inflated bytes for each character of the text, and bytes besides.
+RATIO, SPARE = 1100, 64 << 20
+UNREAD = "unread"
 
 _URL = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
 _URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -51,6 +57,9 @@ _STRETCH = re.compile(
     rb"(?:[\t\n\r\x20-\x7e]|\xc2[\xa0-\xbf]|[\xc3-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
     rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}"
 )
+_CONTROL = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\ufffc\ufffe-\U0010ffff]+")
+#: Ends of pieces: no pattern matches across a space between two letters or digits, an empty line or a control character.
+_SAFE = re.compile(r"(?<=[A-Za-z0-9])[ \t](?=[A-Za-z0-9])|\n\n|" + _CONTROL.pattern)
 _WORD = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)\Z")
 ADDED = [
     *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()),
@@ -60,16 +69,27 @@ ADDED = [
 
 @dataclass
 class _Layer:
-    """A decoded text; start[i] and end[i] bound the original code points of its character i. None: the text itself."""
+    """A decoded text; start[i] and end[i] bound the original code points of its character i, or of all if they are
+    numbers. None: the text itself."""
 
     text: str
-    start: list[int] | None = None
-    end: list[int] | None = None
+    start: list[int] | int | None = None
+    end: list[int] | int | None = None
 
     def span(self, a: int, b: int) -> tuple[int, int]:
+        if isinstance(self.start, int):
+            return self.start, self.end
         return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
 
 
+@dataclass
+class _Allowed:
+    """Bytes that the layers of a text may still inflate to, and the places of payloads that were not read to the end."""
+
+    left: int
+    unread: set[tuple[int, int, str]]
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base kinds, by start and then kind as listed."""
     found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -149,32 +169,75 @@ def _unicode_unit(layer: _Layer, unit: re.Match) -> _Layer | None:
     return _Layer(chr(point), [a], [b])
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """The content of a gzip, zlib, bzip2, xz or zstandard payload, up to the bound."""
+def _inflate(raw: memoryview | bytes, read: list[int]) -> Iterator[bytes]:
+    """The content of gzip, zlib, bzip2, xz or zstandard members in pieces, as far as they are sound; read[0] is the end of whole members."""
+    size = len(raw)
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, INFLATED)
-        if raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, INFLATED)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, INFLATED)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, INFLATED)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import io
-
-            import zstandard
-
-            return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw)).read(INFLATED)
+        while raw:
+            if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
+                member, rest = zlib.decompressobj(31 if raw[0] == 0x1F else 15), raw
+                while not member.eof:
+                    piece = member.decompress(rest, PIECE)
+                    rest = member.unconsumed_tail
+                    if piece:
+                        yield piece
+                    elif not rest:
+                        return
+                raw = member.unused_data
+            elif raw[:3] == b"BZh" or raw[:6] == b"\xfd7zXZ\x00":
+                member, rest = bz2.BZ2Decompressor() if raw[:3] == b"BZh" else lzma.LZMADecompressor(), raw
+                while not member.eof:
+                    piece, rest = member.decompress(rest, PIECE), b""
+                    if piece:
+                        yield piece
+                    elif member.needs_input:
+                        return
+                raw = member.unused_data
+            elif raw[:4] == b"\x28\xb5\x2f\xfd":
+                import zstandard
+
+                member, at = zstandard.ZstdDecompressor().decompressobj(), 0
+                while not member.eof:
+                    if at >= len(raw):
+                        return
+                    # 256 bytes become 8 MB at most
+                    if piece := member.decompress(raw[at : at + 256]):
+                        yield piece
+                    at += 256
+                raw = member.unused_data + raw[at:]
+            else:
+                return
+            raw = raw.lstrip(b"\0")
+            read[0] = size - len(raw)
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, MemoryError):
-        return None
+        return
     except Exception as e:  # zstandard has its own error class
         if type(e).__name__ != "ZstdError":
             raise
-    return None
 
 
-def _base64(layer: _Layer, m: re.Match) -> Iterator[_Layer]:
+def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
+    """The printable stretches of the pieces; one that goes on in the next piece is cut at a safe place or held back."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for piece in pieces:
+        known, held, end = len(held), held + decoder.decode(piece), 0
+        for m in _SAFE.finditer(held, max(0, known - 2)):
+            end = m.end()
+        yield from (x for x in _CONTROL.split(held[:end]) if len(x) >= 12)
+        held = held[end:]
+    yield from (x for x in _CONTROL.split(held + decoder.decode(b"", True)) if len(x) >= 12)
+
+
+def _allowed(pieces: Iterator[bytes], allowed: _Allowed, place: tuple[int, int]) -> Iterator[bytes]:
+    for piece in pieces:
+        allowed.left -= len(piece)
+        if allowed.left < 0:
+            allowed.unread.add((*place, UNREAD))
+            return
+        yield piece
+
+
+def _base64(layer: _Layer, m: re.Match, allowed: _Allowed) -> Iterator[_Layer]:
     """Printable stretches and inflated payloads of a base64 run, read from each of its first four characters."""
     body, place = m[0].rstrip("="), None
     if _BREAK.search(body):
@@ -192,16 +255,22 @@ def _base64(layer: _Layer, m: re.Match) -> Iterator[_Layer]:
             at = skip + 4 * (i // 3) + i % 3
             return layer.span(m.start() + at, m.start() + at + 2) if place is None else layer.span(place[at], place[at + 1] + 1)
 
-        for magic in _MAGIC.finditer(raw):
-            if inner := _inflate(raw[magic.start() :]):
-                whole = bounds(magic.start())[0], layer.span(m.start(), m.end())[1]
-                for stretch in _STRETCH.finditer(inner):
-                    yield _from_bytes(stretch[0], lambda i, whole=whole: whole)
+        at, inside = 0, []
+        while magic := _MAGIC.search(raw, at):
+            read, whole = [1], (bounds(magic.start())[0], layer.span(m.start(), m.end())[1])
+            for inner in _texts(_allowed(_inflate(memoryview(raw)[magic.start() :], read), allowed, whole)):
+                yield _Layer(inner, *whole)
+            if (*whole, UNREAD) in allowed.unread:
+                break
+            at = magic.start() + read[0]
+            inside.append((magic.start(), at))
         for stretch in _STRETCH.finditer(raw):
-            yield _from_bytes(stretch[0], lambda i, at=stretch.start(), bounds=bounds: bounds(at + i))
+            if any(a <= stretch.start() and stretch.end() <= b for a, b in inside):
+                continue
+            yield _from_bytes(stretch[0], lambda i, first=stretch.start(), bounds=bounds: bounds(first + i))
 
 
-def _layers(layer: _Layer) -> Iterator[_Layer | None]:
+def _layers(layer: _Layer, allowed: _Allowed) -> Iterator[_Layer | None]:
     text = layer.text
     if "%" in text:
         for m in _URL.finditer(text):
@@ -211,32 +280,43 @@ def _layers(layer: _Layer) -> Iterator[_Layer | None]:
             if _UNICODE.search(m[0]):
                 yield _unescaped(layer, m, _UNICODE, _unicode_unit)
     for m in _BASE64.finditer(text):
-        yield from _base64(layer, m)
+        yield from _base64(layer, m, allowed)
     if "\n" in text:
         for m in _WRAPPED.finditer(text):
-            yield from _base64(layer, m)
+            yield from _base64(layer, m, allowed)
 
 
 _TOKEN = re.compile(r"\S*(?:\\[ux]|&#)\S*")
 
 
+_END = object()
+_ORDER = (*KINDS, UNREAD)
+
+
 def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) of a text, each (start, end, kind) by start and then kind as listed."""
     if not text:
         return [], []
     base = base_spans(text)
-    found, seen, work = {*base}, set(), deque([_Layer(text)])
+    allowed = _Allowed(RATIO * len(text) + SPARE, set())
+    # layers are made one at a time, the innermost first, so that no more than a chain of them is in memory
+    found, seen, work = {*base}, set(), [_layers(_Layer(text), allowed)]
     while work:
-        layer = work.popleft()
-        for inner in _layers(layer):
-            if inner is None or not inner.text or (key := (inner.text, *inner.span(0, len(inner.text)))) in seen:
-                continue
-            seen.add(key)
-            found.update((*inner.span(a, b), kind) for a, b, kind in base_spans(inner.text))
-            work.append(inner)
+        if (inner := next(work[-1], _END)) is _END:
+            work.pop()
+            continue
+        if inner is None or not inner.text:
+            continue
+        key = hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *inner.span(0, len(inner.text))
+        if key in seen:
+            continue
+        seen.add(key)
+        found.update((*inner.span(a, b), kind) for a, b, kind in base_spans(inner.text))
+        work.append(_layers(inner, allowed))
+    found |= allowed.unread
     if len(found) == len(base):
         return base, base
-    return base, sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+    return base, sorted(found, key=lambda x: (x[0], _ORDER.index(x[2]), x[1]))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
