@@ -66,15 +66,62 @@ def test_warc_reads_other_writers(tmp_path, spark):
         warc.read_warc(spark, [f"{tmp_path}/a.warc"], payload=True).collect()
 
 
-@pytest.mark.parametrize("n, top", [(0, 2), (1, 2), (2047, 50000), (2049, 3), (5000, 131072)])
+@pytest.mark.parametrize("n, top", [(1, 2), (2, 1), (255, 50000), (257, 3), (5000, 2**32), (70_000, 2**17), (530_000, 900)])
 def test_token_blocks_come_back(n, top):
-    ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
-    blocks = tokenfile.encode_blocks(ids)
-    assert (tokenfile.decode_blocks(blocks) == ids).all()
-    if n > 2048:
-        size, payload, crc = blocks[0]
-        with pytest.raises(ValueError):
-            tokenfile.decode_blocks([(size, payload, crc ^ 1), *blocks[1:]])
+    ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)[: tokenfile.BLOCK]
+    block = tokenfile.encode_block(ids)
+    assert (tokenfile.decode_block(block) == ids).all()
+    for at in {0, 5, len(block) // 2, len(block) - 20, len(block) - 1}:
+        try:  # the last bits of a lane may not matter
+            assert (tokenfile.decode_block(block[:at] + bytes([block[at] ^ 0x55]) + block[at + 1 :]) == ids).all()
+        except ValueError:
+            pass
+
+
+def test_token_coder_beats_zlib_and_the_static_entropy(sf):
+    import pyarrow.parquet as pq
+
+    from tidewater.llm.tokenizing import encoder
+
+    texts = pq.read_table(f"{sf.replace('0.001', '0.01')}/documents.parquet").column("text").to_pylist()
+    raw = b"".join(encoder(tokenizer("word_bpe_49k.json")).ids(t) + b"\x02\0\0\0" for t in texts)
+    ids = np.frombuffer(raw, "<u4")
+    blocks = [ids[k : k + tokenfile.BLOCK] for k in range(0, len(ids), tokenfile.BLOCK)]
+    bits = 8 * sum(len(tokenfile.encode_block(x)) for x in blocks) / len(ids)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert bits < 8 * sum(len(zlib.compress(x.tobytes(), 9)) for x in blocks) / len(ids)
+    assert bits < -(share * np.log2(share)).sum()
+
+
+def test_a_damaged_block_costs_no_other(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    own = [rng.integers(0, 3000, n).astype("<u4").tobytes() for n in (0, 300_000, 1, 700_000, 40, 600_000, 5, 0)]
+    with open(tmp_path / "x.twid", "wb") as f:
+        writer = tokenfile.Writer(f, 2)
+        for k, ids in enumerate(own):
+            writer.add(k if k else None, ids)
+        writer.close()
+    read = lambda **kw: {r.doc_id: r.ids for r in tokenfile.read_tokens(spark, [{"file": str(tmp_path / "x.twid"), "documents": 8, "ids": writer.ids}], keep_ids=True, **kw).collect()}
+    assert read() == {k or None: x for k, x in enumerate(own)}
+    with open(tmp_path / "x.twid", "rb") as f:
+        assert (tokenfile.Reader(f).block(1) == np.frombuffer(b"".join(own), "<u4")[tokenfile.BLOCK : 2 * tokenfile.BLOCK]).all()
+    raw = bytearray((tmp_path / "x.twid").read_bytes())
+    raw[writer.blocks[1][0] + 5000] ^= 1
+    (tmp_path / "x.twid").write_bytes(raw)
+    # the second block holds ids 524,288 to 1,048,575: parts of the documents 3 and 5, and document 4
+    assert read(keep_damaged=True) == {k or None: None if k in (3, 4, 5) else bytes(x) for k, x in enumerate(own)}
+    with pytest.raises(Exception, match="damaged|checksum|size"):
+        read()
+
+
+def test_token_files_roll(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FILE_IDS", 50)
+    path = tokenizer("word_bpe_49k.json")
+    table = spark.createDataFrame([(5, "some words of a text that come again " * 3)] * 40 + [(None, None)], "doc_id long, text string")
+    manifest = tokenfile.write_tokens(table, path, 2)
+    got = tokenfile.read_tokens(spark, manifest).orderBy("start").collect()
+    assert len(manifest) > 10 and len(got) == 41 and got[0].doc_id is None and len({r.ids_crc32 for r in got[1:]}) == 1
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
 
 
 def test_token_files(spark, docs, none):

@@ -1,16 +1,21 @@
 """Token-id files: an adaptive context-mixing range coder over independent, checksummed blocks.
 
-Format of a file (little-endian): magic ``TWID1``, a JSON header length (u32) and header (end id, block size, number of
-documents and ids), the document index (doc_id i64, null flag u8, n_tokens u64 each), then blocks. A block holds up to
-``BLOCK`` ids: number of ids (u32), payload bytes (u32), crc32 of the ids as u32 (u32), payload. Every block starts from
-fresh model state, so blocks are decoded alone, and a damaged one is noticed and costs no other.
-
-Model: order 2 (the two ids before, hashed) and order 1 (the id before) each predict one id and keep a confidence; the
-next symbol says which prediction was right, or else the id's bit length, whose low bits follow. Symbol frequencies are
-the mixed counts of three adaptive contexts: none (order 0), the bit length of the id before (order 1), and the two
-confidences (order 2). The coder is a carryless 64-bit range coder with 16-bit renormalisation.
-
-numpy codes many blocks in step, one lane for each, so the interpreter's cost is shared by all lanes.
+Model: the two ids before (order 2, hashed) and the id before (order 1) each guess one id and keep a confidence; order 0
+has adaptive frequencies of all ids of the block. The three predictions are mixed with weights that are learned for each
+pair of confidences: an id that a guess names has that guess's weight, any other id its share of the order-0 weight. The
+mixed probabilities drive a carryless 64-bit range coder with 16-bit units.
+
+A block of up to ``BLOCK`` ids is dealt in runs of ``STEPS`` ids, one lane each. All lanes of a block share one model and
+are coded in step with numpy, so the model learns from all of them after each step. Every block starts from fresh model
+state and has its own header, so any block can be read alone.
+
+Format of a file (little-endian): magic ``TWID2``; blocks; document index (doc_id i64, null flag u8, n_tokens u64 each);
+JSON footer (end id, number of documents and ids, offset and ids of each block); crc32 of index and footer (u32), footer
+length (u32), magic. A block: ids, crc32 of the ids as u32, distinct ids, bytes of their list, units (u32 each); the
+distinct ids (zlib of their gaps as u32); units of each lane (u16 each); units (u16 each), lane by lane.
+
+Defined results: any ids below 2**32 can be written. A damaged block is noticed by its checksum; it raises ValueError,
+or, if the reader asks for it, leaves the ids of the documents that reach into it null and costs no other.
 """
 
 from __future__ import annotations
@@ -28,266 +33,402 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import U64, filesystem, normal_uri, shared_path, slices
 from tidewater.llm.tokenizing import encoder
 
-MAGIC = b"TWID1"
-BLOCK, LANES = 2048, 2048
-_SLOTS, _CONTEXTS = (1 << 10, 1 << 11), (1, 18, 16)
-_SYMBOLS = 20  # 0: order 2 was right, 1: order 1 was right, 2 + n: another id of bit length n
-_SHORT = U64(1 << 36)  # a total below 2**18 and up to 16 low bits fit
-_STEP, _EVERY, _MOST = 24, 64, 1000  # every so many steps, contexts with a larger count are halved
-
-
-class _Lanes:
-    """Model state of many blocks, in flat tables by lane, and the coder's."""
-
-    def __init__(self, n: int):
-        self.n, self.at, self.steps = n, np.arange(n), 0
-        self.low, self.range = np.zeros(n, U64), np.full(n, (1 << 64) - 1, U64)
-        self.guess = [np.zeros(n * size, np.uint32) for size in _SLOTS]  # id << 2 | confidence
-        self.counts = [np.ones((n * size, _SYMBOLS), np.uint16) for size in _CONTEXTS]
-        self.before, self.before2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+MAGIC = b"TWID2"
+STEPS, LANES = 256, 2048
+BLOCK = STEPS * LANES
+#: Ids after which a new file begins.
+FILE_IDS = 1 << 26
+_HEAD = struct.Struct("<IIIII")
+_TAIL = struct.Struct("<II5s")
+_SLOT_BITS, _SURE = 18, 8
+_MIX_BITS, _LEAST = 15, 2048  # weights add up to 2**15, of which order 0 has 2,048 at least
+_ID_BITS = 22  # shares of ids within order 0 add up to 2**22; a block has 2**19 distinct ids at most
+_STEP, _MOST = 4, 1 << 16
+_SHORT = U64(1 << 40)  # the range is kept above: both sums of shares fit
+_CAPACITY = 4 * STEPS + 8  # units of a lane at most
+# What happens to a guess, by its confidence, and 8 more if it was right: the change of confidence, and whether it goes
+_CHANGE = np.array([0, 0, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0], np.int32).view(np.uint32)
+_GOES = np.arange(16) < 2
+
+
+class _Model:
+    """Predictions of the next symbol of each lane; symbols are ranks of ids among those of the block."""
+
+    def __init__(self, symbols: int, lanes: int):
+        self.frequency, self.steps = np.ones(symbols, np.int64), 0
+        # (symbol + 1) << 3 | confidence; 0: no guess yet
+        self.guess1, self.guess2 = np.zeros(symbols + 1, np.uint32), np.zeros(1 << _SLOT_BITS, np.uint32)
+        self.won = np.ones((_SURE * _SURE * 2, 3), np.int64)
+        self.before, self.before2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+
+    def _refresh(self) -> None:
+        """Shares of the order-0 ids and of the three orders from the counts so far."""
+        symbols, total = len(self.frequency), int(self.frequency.sum())
+        below = np.zeros(symbols + 1, np.int64)
+        np.cumsum(self.frequency, out=below[1:])
+        # every id has a share of 1 at least; doubles hold all products, and rounding keeps their order
+        self.below = (below * (((1 << _ID_BITS) - symbols) / total)).astype(np.int64) + np.arange(symbols + 1)
+        self.below[-1] = 1 << _ID_BITS
+        self.id_start, self.id_size = self.below.astype(U64), np.diff(self.below).astype(U64)
+        full = self.won.sum(1) > _MOST
+        if full.any():
+            self.won[full] = (self.won[full] + 1) >> 1
+        weight = self.won * ((1 << _MIX_BITS) - _LEAST) // self.won.sum(1, keepdims=True)
+        weight[:, :2] += 1
+        weight[:, 2] = (1 << _MIX_BITS) - weight[:, 0] - weight[:, 1]
+        edge = np.cumsum(weight, 1)
+        self.weight, self.start = weight.reshape(-1).astype(U64), (edge - weight).reshape(-1).astype(U64)
+
+    def predict(self) -> None:
+        if self.steps < 16 or not self.steps % 4:
+            self._refresh()
+        mixed = self.before * np.uint32(0x85EBCA6B) ^ self.before2 * np.uint32(0xC2B2AE35)
+        mixed *= np.uint32(0x9E3779B1)
+        mixed >>= np.uint32(32 - _SLOT_BITS)
+        self.slot1, self.slot2 = self.before.astype(np.intp), mixed.astype(np.intp)
+        self.held1, self.held2 = self.guess1.take(self.slot1), self.guess2.take(self.slot2)
+        self.sure1, self.sure2 = self.held1 & np.uint32(7), self.held2 & np.uint32(7)
+        self.named1, self.named2 = self.held1 >> np.uint32(3), self.held2 >> np.uint32(3)
+        context = self.sure2 * np.uint32(2 * _SURE)
+        context += self.sure1 * np.uint32(2)
+        context += self.named1 == self.named2
+        self.context = context.astype(np.intp) * 3
+
+    def learn(self, symbol: np.ndarray, now: np.ndarray, right2: np.ndarray, right1: np.ndarray, place: np.ndarray) -> None:
+        """``now``: symbol + 1 as uint32; ``right2``, ``right1``: which guesses named it; ``place``: context and order that did."""
+        self.won += np.bincount(place, minlength=self.won.size).reshape(self.won.shape) * 4
+        np.add.at(self.frequency, symbol, _STEP)
+        fresh = now << np.uint32(3) | np.uint32(1)
+        for table, slot, held, sure, right in ((self.guess1, self.slot1, self.held1, self.sure1, right1), (self.guess2, self.slot2, self.held2, self.sure2, right2)):
+            case = right * np.uint32(8)
+            case += sure
+            held += _CHANGE.take(case)
+            np.copyto(held, fresh, where=_GOES.take(case))
+            table[slot] = held
+        self.before2, self.before = self.before, now
+        self.steps += 1
 
     def drop_last(self) -> None:
         """The last lane has ended."""
-        self.n -= 1
-        self.at, self.low, self.range, self.before, self.before2 = (x[: self.n] for x in (self.at, self.low, self.range, self.before, self.before2))
-
-    def predict(self) -> tuple[list, list, list, np.ndarray]:
-        """(slots, their contents, contexts, cumulative frequencies) of each lane."""
-        one = (self.before * np.uint32(0x9E3779B1)) >> np.uint32(22)
-        two = (self.before * np.uint32(0x85EBCA6B) ^ self.before2 * np.uint32(0xC2B2AE35)) * np.uint32(0x9E3779B1) >> np.uint32(21)
-        slots = [self.at * size + slot for size, slot in zip(_SLOTS, (one, two), strict=True)]
-        held = [table.take(slot) for table, slot in zip(self.guess, slots, strict=True)]
-        sure = (held[0] & np.uint32(3)) * np.uint32(4) + (held[1] & np.uint32(3))
-        contexts = [self.at, self.at * _CONTEXTS[1] + _bits(self.before), self.at * _CONTEXTS[2] + sure]
-        mixed = self.counts[2].take(contexts[2], 0)
-        mixed += mixed
-        mixed += self.counts[1].take(contexts[1], 0)
-        mixed += self.counts[0].take(contexts[0], 0)
-        edge = np.zeros((self.n, _SYMBOLS + 1), np.uint32)
-        np.cumsum(mixed, 1, out=edge[:, 1:])
-        return slots, held, contexts, edge
-
-    def learn(self, ids: np.ndarray, symbol: np.ndarray, slots: list, held: list, contexts: list) -> None:
-        for table, context in zip(self.counts, contexts, strict=True):
-            table.reshape(-1)[context * _SYMBOLS + symbol] += _STEP
-        self.steps += 1
-        if not self.steps % _EVERY:
-            for table in self.counts:
-                full = np.flatnonzero(table.max(1) > _MOST)
-                table[full] = (table[full] + 1) >> 1
-        for table, slot, old in zip(self.guess, slots, held, strict=True):
-            sure, right = old & np.uint32(3), (old >> np.uint32(2)) == ids
-            worse = np.where(sure > 0, old - np.uint32(1), ids << np.uint32(2))
-            table[slot] = np.where(right, old + (sure < 3), worse)
-        self.before2, self.before = self.before, ids
-
-
-def _bits(ids: np.ndarray) -> np.ndarray:
-    """Bit length of ids below 2**17."""
-    return _BIT_LENGTH[np.minimum(ids, len(_BIT_LENGTH) - 1)]
-
-
-_BIT_LENGTH = np.array([n.bit_length() for n in range(1 << 17)], np.uint8)
-
-
-def _narrow(lanes: _Lanes, start: np.ndarray, size: np.ndarray, total: np.ndarray, low_bits: np.ndarray, rest: np.ndarray) -> None:
-    """To the symbol's share of the range, and then to that of its low bits."""
-    part = lanes.range // total
-    left = part * size >> rest
-    lanes.low = lanes.low + part * start + low_bits * left
-    lanes.range = left
-
-
-def _shifts(lanes: _Lanes) -> Iterator[np.ndarray]:
-    """Renormalises; yields the lanes that shift 16 bits out, before they do."""
-    while True:
-        settled = ((lanes.low ^ (lanes.low + lanes.range)) >> U64(48)) == 0
-        short = ~settled & (lanes.range < _SHORT)
-        if short.any():
-            lanes.range = np.where(short, (U64(0) - lanes.low) & (_SHORT - U64(1)), lanes.range)
-            settled |= short
-        k = np.flatnonzero(settled)
-        if not len(k):
-            return
-        yield k
-        lanes.low[k] <<= U64(16)
-        lanes.range[k] <<= U64(16)
-
-
-def _groups(n: int) -> Iterator[tuple[int, int]]:
-    """(first block, last + 1) of the blocks that are coded in step."""
-    for first in range(0, n, LANES):
-        yield first, min(n, first + LANES)
-
-
-def encode_blocks(ids: np.ndarray) -> list[tuple[int, bytes, int]]:
-    """(number of ids, payload, crc32) of the blocks of a run of ids below 2**17."""
-    if len(ids) and int(ids.max()) >= 1 << 17:
-        raise ValueError("ids must be below 131072")
-    out = []
-    for first, last in _groups(-(-len(ids) // BLOCK)):
-        own = ids[first * BLOCK : last * BLOCK].astype(np.uint32)
-        n, tail = last - first, len(own) - (last - first - 1) * BLOCK
-        grid = np.zeros((n, BLOCK), np.uint32)
-        grid.reshape(-1)[: len(own)] = own
-        lanes, at, units = _Lanes(n), [], []
-
-        def emit(k: np.ndarray, at: list = at, units: list = units, lanes: _Lanes = lanes) -> None:
-            at.append(k.astype(np.int32))
-            units.append((lanes.low[k] >> U64(48)).astype("<u2"))
-
-        for step in range(BLOCK):
-            if step == tail:
-                emit_all(lanes, lanes.n - 1, at, units)
-                lanes.drop_last()
-                if not lanes.n:
-                    break
-            now = grid[: lanes.n, step]
-            slots, held, contexts, edge = lanes.predict()
-            bits = _bits(now).astype(np.int64)
-            symbol = np.where(held[1] >> np.uint32(2) == now, 0, np.where(held[0] >> np.uint32(2) == now, 1, 2 + bits))
-            where = lanes.at * (_SYMBOLS + 1) + symbol
-            start = edge.take(where).astype(U64)
-            rest = np.where(symbol > 2, bits - 1, 0).astype(U64)
-            _narrow(lanes, start, edge.take(where + 1).astype(U64) - start, edge[:, -1].astype(U64), now & ((U64(1) << rest) - U64(1)), rest)
-            for k in _shifts(lanes):
-                emit(k)
-            lanes.learn(now, symbol, slots, held, contexts)
-        for k in range(lanes.n):
-            emit_all(lanes, k, at, units)
-        lane, unit = np.concatenate(at), np.concatenate(units)
-        unit = unit[np.argsort(lane, kind="stable")]
-        edges = np.concatenate([[0], np.cumsum(np.bincount(lane, minlength=n))])
-        for k in range(n):
-            block = own[k * BLOCK : (k + 1) * BLOCK]
-            out.append((len(block), unit[edges[k] : edges[k + 1]].tobytes(), zlib.crc32(block.astype("<u4").tobytes())))
-    return out
-
-
-def emit_all(lanes: _Lanes, k: int, at: list, units: list) -> None:
-    """The last 64 bits of a lane that ends."""
-    at.append(np.full(4, k, np.int32))
-    units.append(np.array([int(lanes.low[k]) >> shift & 0xFFFF for shift in (48, 32, 16, 0)], "<u2"))
-
-
-def decode_blocks(blocks: list[tuple[int, bytes, int]]) -> np.ndarray:
-    """The ids of blocks as encode_blocks gives them; raises ValueError on a damaged one."""
-    parts = []
-    for first, last in _groups(len(blocks)):
-        group = blocks[first:last]
-        n, tail = len(group), group[-1][0]
-        if any(size != BLOCK for size, _, _ in group[:-1]) or not 0 < tail <= BLOCK:
-            raise ValueError("a block has a wrong size")
-        stream = np.frombuffer(b"".join(x[1] for x in group) + b"\0" * 16, "<u2").astype(U64)
-        place = np.concatenate([[0], np.cumsum([len(x[1]) // 2 for x in group])])[:-1]
-        lanes, grid = _Lanes(n), np.zeros((n, BLOCK), np.uint32)
-        code = stream[place] << U64(48) | stream[place + 1] << U64(32) | stream[place + 2] << U64(16) | stream[place + 3]
-        place = place + 4
-        limit = len(stream) - 1
-
-        def shift(k: np.ndarray) -> None:
-            nonlocal code, place
-            code[k] = code[k] << U64(16) | stream[np.minimum(place[k], limit)]
-            place[k] += 1
+        self.before, self.before2 = self.before[:-1], self.before2[:-1]
+
+
+class _Range:
+    """Interval of each lane."""
+
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes, U64), np.full(lanes, (1 << 64) - 1, U64)
+
+    def narrow(self, part: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        start *= part
+        self.low += start
+        np.multiply(part, size, out=self.range)
+
+    def shifts(self) -> Iterator[np.ndarray]:
+        """Renormalises; yields the lanes that shift 16 bits out, before they do."""
+        k, low, size = None, self.low, self.range
+        while True:
+            moved = ((low + size) ^ low) < U64(1 << 48)
+            short = size < _SHORT
+            short &= ~moved
+            if short.any():
+                at = np.flatnonzero(short)
+                at = at if k is None else k[at]
+                self.range[at] = (U64(0) - self.low[at]) & (_SHORT - U64(1))
+                moved |= short
+            k = np.flatnonzero(moved) if k is None else k[moved]
+            if not len(k):
+                return
+            yield k
+            low, size = self.low[k] << U64(16), self.range[k] << U64(16)
+            self.low[k], self.range[k] = low, size
 
-        for step in range(BLOCK):
-            if step == tail:
-                lanes.drop_last()
-                code, place = code[:-1], place[:-1]
-                if not lanes.n:
-                    break
-            slots, held, contexts, edge = lanes.predict()
-            total = edge[:, -1].astype(U64)
-            part = lanes.range // total
-            value = np.minimum((code - lanes.low) // part, total - U64(1))
-            symbol = (edge[:, 1:] <= value[:, None].astype(np.uint32)).sum(1)
-            where = lanes.at * (_SYMBOLS + 1) + symbol
-            start = edge.take(where).astype(U64)
-            size = edge.take(where + 1).astype(U64) - start
-            rest = np.maximum(symbol - 3, 0).astype(U64)
-            low_bits = np.minimum((code - lanes.low - part * start) // (part * size >> rest), (U64(1) << rest) - U64(1))
-            _narrow(lanes, start, size, total, low_bits, rest)
-            for k in _shifts(lanes):
-                shift(k)
-            own = np.where(symbol > 2, U64(1) << rest | low_bits, U64(0)).astype(np.uint32)
-            now = np.where(symbol == 0, held[1] >> np.uint32(2), np.where(symbol == 1, held[0] >> np.uint32(2), own))
-            grid[: lanes.n, step] = now
-            lanes.learn(now, symbol, slots, held, contexts)
-        for k, (size, _, crc) in enumerate(group):
-            if zlib.crc32(grid[k, :size].astype("<u4").tobytes()) != crc:
-                raise ValueError(f"block {first + k}: its checksum differs")
-        parts.append(grid.reshape(-1)[: (n - 1) * BLOCK + tail])
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-
-
-def pack_file(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray, end_id: int) -> bytes:
-    header = json.dumps({"end_id": end_id, "block": BLOCK, "documents": len(doc_ids), "ids": len(ids)}).encode()
-    index = np.array([-1 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(sizes, "<u8").tobytes()
-    blocks = [struct.pack("<III", n, len(payload), crc) + payload for n, payload, crc in encode_blocks(ids)]
-    return b"".join([MAGIC, struct.pack("<I", len(header)), header, index, struct.pack("<I", zlib.crc32(header + index)), *blocks])
-
-
-def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc_ids, sizes, ids) of a file; raises ValueError if it is damaged."""
-    if raw[:5] != MAGIC:
-        raise ValueError("not a token-id file")
-    at = 9 + struct.unpack_from("<I", raw, 5)[0]
-    header = json.loads(raw[9:at])
-    n = header["documents"]
-    doc_ids, null, sizes = np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "u1", n, at + 8 * n), np.frombuffer(raw, "<u8", n, at + 9 * n)
-    end = at + 17 * n
-    if zlib.crc32(raw[9:end]) != struct.unpack_from("<I", raw, end)[0]:
-        raise ValueError("the index is damaged")
-    blocks, at = [], end + 4
-    while at < len(raw):
-        size, payload, crc = struct.unpack_from("<III", raw, at)
-        blocks.append((size, raw[at + 12 : at + 12 + payload], crc))
-        at += 12 + payload
-    ids = decode_blocks(blocks)
-    if len(ids) != header["ids"] or int(sizes.sum()) != len(ids):
-        raise ValueError("ids are missing")
-    return [None if gone else int(d) for d, gone in zip(doc_ids, null, strict=True)], sizes.astype(np.int64), ids
+    def drop_last(self) -> None:
+        self.low, self.range = self.low[:-1], self.range[:-1]
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and the rank of each id among them."""
+    if int(ids.max()) >= 1 << 24:
+        return np.unique(ids, return_inverse=True)
+    known = np.zeros(int(ids.max()) + 1, bool)
+    known[ids] = True
+    return np.flatnonzero(known), (np.cumsum(known) - 1)[ids]
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """One block of 1 to BLOCK ids below 2**32."""
+    ids = np.ascontiguousarray(ids, "<u4")
+    symbols, rank = _distinct(ids)
+    n, lanes = len(ids), -(-len(ids) // STEPS)
+    tail = n - (lanes - 1) * STEPS
+    grid = np.zeros(lanes * STEPS, np.int64)
+    grid[:n] = rank
+    grid = np.ascontiguousarray(grid.reshape(lanes, STEPS).T)
+    model, coder = _Model(len(symbols), lanes), _Range(lanes)
+    units, place, left = np.zeros(lanes * _CAPACITY, np.uint16), np.arange(lanes) * _CAPACITY, lanes
+
+    def end(k: np.ndarray) -> None:
+        # the first value in the interval whose lower 32 bits are zeros, which the reader adds
+        last = coder.low[k] + U64((1 << 32) - 1)
+        units[place[k]], units[place[k] + 1] = last >> U64(48), last >> U64(32) & U64(0xFFFF)
+        place[k] += 2
+
+    for step in range(STEPS):
+        if step == tail:
+            left -= 1
+            end(np.array([left]))
+            model.drop_last()
+            coder.drop_last()
+        if not left:
+            break
+        symbol = grid[step, :left]
+        model.predict()
+        now = symbol.astype(np.uint32) + np.uint32(1)
+        right2, right1 = model.named2 == now, model.named1 == now
+        at = model.context + np.where(right2, 0, 2 - right1)
+        coder.narrow(coder.range >> U64(_MIX_BITS), model.start.take(at), model.weight.take(at))
+        others = ~(right2 | right1)
+        start, size = model.id_start.take(symbol), model.id_size.take(symbol)
+        start *= others
+        np.copyto(size, U64(1), where=~others)
+        coder.narrow(coder.range >> others * U64(_ID_BITS), start, size)
+        for k in coder.shifts():
+            units[place[k]] = coder.low[k] >> U64(48)
+            place[k] += 1
+        model.learn(symbol, now, right2, right1, at)
+    end(np.arange(left))
+    used = (place - np.arange(lanes) * _CAPACITY).astype("<u2")
+    payload = units.reshape(lanes, _CAPACITY)[np.arange(_CAPACITY) < used[:, None]].astype("<u2").tobytes()
+    listed = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes(), 6)
+    return _HEAD.pack(n, zlib.crc32(ids.tobytes()), len(symbols), len(listed), len(payload) // 2) + listed + used.tobytes() + payload
+
+
+def decode_block(raw: bytes) -> np.ndarray:
+    """The ids of a block; raises ValueError if it is damaged."""
+    try:
+        n, crc, size, listed, units = _HEAD.unpack_from(raw)
+        lanes = -(-n // STEPS)
+        if not 0 < n <= BLOCK or len(raw) != _HEAD.size + listed + 2 * lanes + 2 * units or not 0 < size <= n:
+            raise ValueError("a block has a wrong size")
+        symbols = np.cumsum(np.frombuffer(zlib.decompress(raw[_HEAD.size : _HEAD.size + listed]), "<u4").astype(np.int64))
+        used = np.frombuffer(raw, "<u2", lanes, _HEAD.size + listed).astype(np.int64)
+        if len(symbols) != size or int(used.sum()) != units:
+            raise ValueError("a block has a wrong size")
+        ids = symbols[_decode(n, size, used, np.frombuffer(raw, "<u2", units, _HEAD.size + listed + 2 * lanes))].astype("<u4")
+    except (struct.error, zlib.error) as e:
+        raise ValueError("a block is damaged") from e
+    if zlib.crc32(ids.tobytes()) != crc:
+        raise ValueError("a block's checksum differs")
+    return ids
+
+
+def _decode(n: int, size: int, used: np.ndarray, units: np.ndarray) -> np.ndarray:
+    lanes = len(used)
+    tail, left = n - (lanes - 1) * STEPS, lanes
+    stream = np.concatenate([units, np.zeros(1, np.uint16)]).astype(U64)
+    end = np.cumsum(used)
+    place, none = end - used, len(stream) - 1
+    model, coder, grid = _Model(size, lanes), _Range(lanes), np.zeros((STEPS, lanes), np.int64)
+    code = np.zeros(lanes, U64)
+
+    def shift(k: np.ndarray) -> None:
+        at = place[k]
+        code[k] = code[k] << U64(16) | stream[np.where(at < end[k], at, none)]
+        place[k] = at + 1
+
+    for _ in range(4):
+        shift(np.arange(lanes))
+    for step in range(STEPS):
+        if step == tail:
+            left -= 1
+            model.drop_last()
+            coder.drop_last()
+            code = code[:-1]
+        if not left:
+            break
+        model.predict()
+        part, value = coder.range >> U64(_MIX_BITS), code - coder.low
+        source = (value >= part * model.start.take(model.context + 1)).astype(np.intp) + (value >= part * model.start.take(model.context + 2))
+        at = model.context + source
+        coder.narrow(part, model.start.take(at), model.weight.take(at))
+        others = source == 2
+        part = coder.range >> others * U64(_ID_BITS)
+        now = np.where(source == 0, model.named2, model.named1)
+        k = np.flatnonzero(others)
+        value, own = code[k] - coder.low[k], part[k]
+        # the quotient in doubles may be off by one
+        share = np.minimum(value / own, (1 << _ID_BITS) - 1).astype(U64)
+        share -= own * share > value
+        share += own * (share + U64(1)) <= value
+        now[k] = np.searchsorted(model.below, share.astype(np.int64), "right")
+        np.clip(now, 1, size, out=now)
+        symbol = now.astype(np.int64) - 1
+        start, width = model.id_start.take(symbol), model.id_size.take(symbol)
+        start *= others
+        np.copyto(width, U64(1), where=~others)
+        coder.narrow(part, start, width)
+        for k in coder.shifts():
+            shift(k)
+        grid[step, :left] = symbol
+        model.learn(symbol, now, model.named2 == now, model.named1 == now, at)
+    return np.ascontiguousarray(grid.T).reshape(-1)[:n]
+
+
+class Writer:
+    """Writes one file to a stream, block by block: at most a block and one document are in memory besides the index."""
+
+    def __init__(self, out, end_id: int):
+        self.out, self.end_id, self.at = out, end_id, len(MAGIC)
+        self.doc_ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.blocks: list[tuple[int, int]] = []
+        self.waiting, self.held, self.ids = [], 0, 0
+        out.write(MAGIC)
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """A document's ids as little-endian u32."""
+        self.doc_ids.append(doc_id)
+        self.sizes.append(len(ids) // 4)
+        self.ids += len(ids) // 4
+        self.waiting.append(ids)
+        self.held += len(ids) // 4
+        if self.held >= BLOCK:
+            self._blocks(BLOCK)
+
+    def _blocks(self, least: int) -> None:
+        ids, at = np.frombuffer(b"".join(self.waiting), "<u4"), 0
+        while len(ids) - at >= least:
+            own = ids[at : at + BLOCK]
+            block = encode_block(own)
+            self.blocks.append((self.at, len(own)))
+            self.out.write(block)
+            self.at += len(block)
+            at += len(own)
+        self.waiting, self.held = [ids[at:].tobytes()], len(ids) - at
+
+    def close(self) -> None:
+        if self.held:
+            self._blocks(1)
+        index = np.array([-1 if d is None else d for d in self.doc_ids], "<i8").tobytes() + np.array([d is None for d in self.doc_ids], "u1").tobytes() + np.array(self.sizes, "<u8").tobytes()
+        footer = json.dumps({"end_id": self.end_id, "documents": len(self.doc_ids), "ids": self.ids, "index": self.at, "blocks": self.blocks}).encode()
+        self.out.write(index + footer + _TAIL.pack(zlib.crc32(index + footer), len(footer), MAGIC))
+
+
+class Reader:
+    """Index and blocks of a file that can be read at any place."""
+
+    def __init__(self, file):
+        self.file = file
+        file.seek(0, 2)
+        size = file.tell()
+        if size < len(MAGIC) + _TAIL.size or self._read(0, len(MAGIC)) != MAGIC:
+            raise ValueError("not a token-id file")
+        crc, length, magic = _TAIL.unpack(self._read(size - _TAIL.size, _TAIL.size))
+        if magic != MAGIC or length > size - _TAIL.size:
+            raise ValueError("the index is damaged")
+        raw = self._read(size - _TAIL.size - length, length)
+        try:
+            footer = json.loads(raw)
+            n, self.end = footer["documents"], footer["index"]
+            index = self._read(self.end, 17 * n)
+        except (ValueError, KeyError, TypeError) as e:
+            raise ValueError("the index is damaged") from e
+        if zlib.crc32(index + raw) != crc:
+            raise ValueError("the index is damaged")
+        self.end_id, self.ids, self.blocks = footer["end_id"], footer["ids"], footer["blocks"]
+        doc_ids, null = np.frombuffer(index, "<i8", n), np.frombuffer(index, "u1", n, 8 * n)
+        self.doc_ids = [None if gone else int(d) for d, gone in zip(doc_ids, null, strict=True)]
+        self.sizes = np.frombuffer(index, "<u8", n, 9 * n).astype(np.int64)
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def block(self, k: int) -> np.ndarray:
+        """The ids of block k alone; raises ValueError if it is damaged."""
+        at, n = self.blocks[k]
+        ids = decode_block(self._read(at, (self.blocks[k + 1][0] if k + 1 < len(self.blocks) else self.end) - at))
+        if len(ids) != n:
+            raise ValueError("ids are missing")
+        return ids
+
+    def documents(self, keep_damaged: bool = False) -> Iterator[tuple[int, list[bytes | None]]]:
+        """(first document, ids of it and the next ones) as blocks complete them; None for one that a damaged block holds a part of."""
+        ends, done, first, held, broken = np.cumsum(self.sizes), 0, 0, b"", False
+        for k in range(len(self.blocks)):
+            try:
+                held += self.block(k).tobytes()
+            except ValueError:
+                if not keep_damaged:
+                    raise
+                held, broken = held + bytes(4 * self.blocks[k][1]), True
+            start = done - (len(held) // 4 - self.blocks[k][1])
+            bad = done if broken else None
+            done += self.blocks[k][1]
+            last = int(np.searchsorted(ends, done, "right"))
+            out, at = [], start
+            for d in range(first, last):
+                own = held[4 * (at - start) : 4 * (int(ends[d]) - start)]
+                out.append(None if bad is not None and int(ends[d]) > bad else own)
+                at = int(ends[d])
+            held = held[4 * (at - start) :]
+            # what is left over of a damaged block spoils the document that goes on
+            broken = broken and bool(held)
+            yield first, out
+            first = last
+        if first < len(self.sizes) and not self.sizes[first:].any():
+            yield first, [b""] * (len(self.sizes) - first)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> list[dict]:
     """Writes the ids of every document and an end id, in ascending doc_id order (nulls first, then by a hash of the text).
 
-    Returns a manifest, one entry for each file in order: file, documents, ids. A file counts only if it is listed, so
-    files of attempts that failed or ran twice do no harm. Null texts are empty. An empty table gives no files.
+    Returns a manifest, one entry for each file in order: file, documents, ids. A task begins a new file after FILE_IDS
+    ids, and rows that are equal in all columns are dealt by their place in the input, so neither a large partition nor
+    a hot doc_id has to fit in memory. A file counts only if it is listed, so files of attempts that failed or ran twice
+    do no harm. Null texts are empty. An empty table gives no files.
     """
     spark = docs.sparkSession
     path = normal_uri(path or shared_path(spark, "tokens"))
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t"))
-    order = (F.col("d").asc_nulls_first(), F.xxhash64("t"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").alias("t"), F.monotonically_increasing_id().alias("place"))
+    order = (F.col("d").asc_nulls_first(), F.xxhash64("t"), F.col("place"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, end, context = encoder(tokenizer).ids, end_id.to_bytes(4, "little"), TaskContext.get()
-        doc_ids, sizes, parts = [], [], []
-        for batch in slices(batches, "t"):
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = encode(t) + end
-                doc_ids.append(d)
-                sizes.append(len(own) // 4)
-                parts.append(own)
-        if not doc_ids:
-            return
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        parts.clear()
-        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.twid"
         fs, folder = filesystem(path)
-        fs.create_dir(folder, recursive=True)
-        with fs.open_output_stream(f"{folder}/{name}") as f:
-            f.write(pack_file(doc_ids, sizes, ids, end_id))
-        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [f"{path}/{name}"], "documents": [len(doc_ids)], "ids": [len(ids)]})
+        name, file, writer, number = "", None, None, 0
 
-    done = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "part long, file string, documents long, ids long")
-    return [{"file": r["file"], "documents": r["documents"], "ids": r["ids"]} for r in sorted(done.collect(), key=lambda r: r["part"])]
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            file.close()
+            return pa.RecordBatch.from_pydict({"part": [context.partitionId()], "number": [number], "file": [f"{path}/{name}"], "documents": [len(writer.doc_ids)], "ids": [writer.ids]})
 
-
-def read_tokens(spark, manifest: list[dict], keep_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids as bytes) of every document in the files of a manifest."""
+        for batch in slices(batches, "t"):
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if writer is None:
+                    fs.create_dir(folder, recursive=True)
+                    name = f"part-{context.partitionId():06d}-{number:06d}-{context.taskAttemptId()}.twid"
+                    file = fs.open_output_stream(f"{folder}/{name}")
+                    writer = Writer(file, end_id)
+                writer.add(d, encode(t) + end)
+                if writer.ids >= FILE_IDS:
+                    yield closed()
+                    writer, number = None, number + 1
+        if writer is not None:
+            yield closed()
+
+    done = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "part long, number long, file string, documents long, ids long")
+    return [{"file": r["file"], "documents": r["documents"], "ids": r["ids"]} for r in sorted(done.collect(), key=lambda r: (r["part"], r["number"]))]
+
+
+def read_tokens(spark, manifest: list[dict], keep_ids: bool = False, keep_damaged: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and ids as bytes) of every document in the files of a manifest.
+
+    A damaged block raises an error; with ``keep_damaged``, ids and checksum of the documents in it are null instead.
+    """
     base, listed = 0, []
     for entry in manifest:
         listed.append((entry["file"], base))
@@ -298,12 +439,13 @@ def read_tokens(spark, manifest: list[dict], keep_ids: bool = False) -> DataFram
         for batch in batches:
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, place = filesystem(file)
-                with fs.open_input_stream(place) as f:
-                    doc_ids, sizes, ids = unpack_file(f.read())
-                raw, end = ids.astype("<u4").tobytes(), np.cumsum(sizes)
-                own = [raw[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), end.tolist(), strict=True)]
-                arrays = [pa.array(doc_ids, pa.int64()), pa.array(end - sizes + base), pa.array(sizes), pa.array([zlib.crc32(x) for x in own], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(own, pa.binary())] if keep_ids else [])], names=names)
+                with fs.open_input_file(place) as f:
+                    reader = Reader(f)
+                    starts = np.cumsum(reader.sizes) - reader.sizes + base
+                    for first, own in reader.documents(keep_damaged):
+                        last = first + len(own)
+                        arrays = [pa.array(reader.doc_ids[first:last], pa.int64()), pa.array(starts[first:last]), pa.array(reader.sizes[first:last]), pa.array([None if x is None else zlib.crc32(x) for x in own], pa.int64())]
+                        yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(own, pa.binary())] if keep_ids else [])], names=names)
 
     files = spark.createDataFrame(listed, "file string, base long").repartition(max(1, len(listed)))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)
