@@ -4,9 +4,8 @@ import duckdb
 import pytest
 
 from tests.conftest import SF
-from tidewater.operators.storage import choose_strategy
-from tidewater.plans import queries, search
-from tidewater.plans.queries import ORACLE, QUERIES
+from tidewater.plans import queries, search, search_queries
+from tidewater.plans.registered import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -43,9 +42,39 @@ def test_query_agrees_with_sql(spark, duck, name):
         assert plain([tuple(r) for r in got.collect()], [got.columns.index(c) for c in order]) == plain(want, [columns.index(c) for c in order])
 
 
-def test_threshold_search_equals_full_search(spark):
-    full = [r["table_name"] for r in search.search(queries.lake(spark, SF), "orders_a", search.TRAINING, 2, provenance=spark.createDataFrame(queries._PROV, "table_name string, prov double")).collect()]
-    assert [r["table_name"] for r in queries.threshold_topk(spark, SF).collect()] == full
+@pytest.mark.parametrize("mode", [search.TRAINING, search.FEATURES, search.CLEANING])
+def test_threshold_search_equals_full_search(spark, mode):
+    lake = search_queries.whole_lake(spark, SF)
+    prov = spark.createDataFrame([("orders", 0.5), ("customer", 0.01)], "table_name string, prov double")
+    full = search.search(lake, search_queries.QUERY, mode, 6, provenance=prov)
+    some = search.search(lake, search_queries.QUERY, mode, 1, provenance=prov)
+    assert some.hits.first() == full.hits.first()
+    assert some.scored.count() <= full.scored.count() == 6
+    again = search.search(lake, search_queries.QUERY, mode, 6, provenance=prov, state=full.scored)
+    assert again.hits.collect() == full.hits.collect()
+
+
+def test_a_clear_winner_spares_the_others(spark):
+    lake = search_queries.whole_lake(spark, SF)
+    prov = spark.createDataFrame([("orders", 1.0)], "table_name string, prov double")
+    found = search.search(lake, search_queries.QUERY, search.FEATURES, 1, provenance=prov)
+    assert [r["table_name"] for r in found.hits.collect()] == ["orders"] and found.scored.count() < 6
+
+
+def test_holes_are_found_and_filled(spark):
+    scored = {r["table_name"]: r for r in search_queries.random_access(spark, SF).collect()}
+    assert scored["orders"]["keys"] == "o_orderkey" and scored["orders"]["nan_delta"] > 0.02
+    assert scored["nation"]["nan_delta"] == 0
+
+
+def test_empty_query_table(spark):
+    from tidewater.sources.lake import Lake
+
+    lake = Lake(spark, {"q": spark.createDataFrame([], "a int, b string"), "t": spark.createDataFrame([(1, "x")], "a int, b string")})
+    for mode in search.TASKS:
+        assert search.search(lake, "q", mode).hits.count() == 1
+    with pytest.raises(ValueError):
+        search.search(lake, "q", 7)
 
 
 def test_empty_columns_have_no_similarity(spark):
@@ -57,11 +86,6 @@ def test_empty_columns_have_no_similarity(spark):
     assert column_jaccard(known[0], "x", known[1], "x").first()["jaccard"] == pytest.approx(2 / 7)
 
 
-def test_cheapest_strategy(spark):
-    stats = spark.createDataFrame(queries._STATS, queries._STATS_KIND)
-    assert choose_strategy(stats).first()["strategy"] == "lineage"
-
-
 def test_signatures_of_a_stream(spark, tmp_path):
     from tidewater.operators.sketch import signatures
     from tidewater.streaming.incremental import index_stream, read_index

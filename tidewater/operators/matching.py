@@ -77,3 +77,56 @@ def match_full(a: DataFrame, b: DataFrame, mapped: DataFrame, threshold: float =
     fresh = greedy(scored, ["table_a", "table_b"], "col_a", "col_b", "jaccard", ("pos_a", "pos_b"))
     on = ["table_a", "col_a", "table_b", "col_b"]
     return mapped.select(*on).unionByName(fresh.select(*on))
+
+
+def remember_match(mapped: DataFrame, scored: DataFrame, known: DataFrame, unmatched: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The memos of match_incremental after a step: pairs that match and pairs that don't, each once."""
+    on = ["table_a", "col_a", "table_b", "col_b"]
+    return known.select(*on).unionByName(mapped.select(*on)).distinct(), unmatched.select(*on).unionByName(scored.where(F.col("jaccard") < threshold).select(*on)).distinct()
+
+
+def _pooled(b: DataFrame, groups: DataFrame) -> DataFrame:
+    """Domains of the columns of a group of tables, pooled by name and type; the group stands for the table."""
+    pooled = b.join(groups.withColumnRenamed("table_b", "table_name"), "table_name").select(F.col("grp").alias("table_name"), "column_name", "dtype", "value").distinct()
+    return pooled.withColumn("pos", F.lit(0)).select("table_name", "column_name", "pos", "dtype", "value")
+
+
+def match_groups_join(a: DataFrame, b: DataFrame, groups: DataFrame, valid: list[str], sampled: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """For joinable search: the map of a's columns to each group's, and the pairs that did not match.
+
+    The ``valid`` columns of a meet the pooled values of the groups; all columns of a then meet the groups' smaller value
+    sets ``sampled`` (domains by group), but for pairs that failed before. One greedy choice is made over both.
+    """
+    on = ["table_a", "col_a", "table_b", "col_b"]
+    first = _all_pairs(a.where(F.col("column_name").isin(*valid)), _pooled(b, groups))
+    second = _all_pairs(a, sampled).join(first.where(F.col("jaccard") < threshold).select(*on), on, "left_anti")
+    both = first.unionByName(second).groupBy(*on, "pos_a").agg(F.max("jaccard").alias("jaccard"), F.min("jaccard").alias("least"))
+    mapped = greedy(both, ["table_a", "table_b"], "col_a", "col_b", "jaccard", ("pos_a", "col_b"), threshold)
+    return mapped, both.where(F.col("least") < threshold).select(*on)
+
+
+def _all_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Jaccard of all column pairs of equal type, also of those without a common value."""
+    names = lambda d, s: d.select(F.col("table_name").alias(f"table_{s}"), F.col("column_name").alias(f"col_{s}"), *([F.col("pos").alias("pos_a")] if s == "a" else []), "dtype").distinct()
+    on = ["table_a", "col_a", "table_b", "col_b"]
+    pairs = names(a, "a").join(names(b, "b"), "dtype").where(~F.col("col_a").contains("index") & ~F.col("col_b").contains("index"))
+    return pairs.join(similar_pairs(a, b).select(*on, "jaccard"), on, "left").select(*on, "pos_a", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"))
+
+
+def match_group_schema(a: DataFrame, b: DataFrame, elements_a: DataFrame, elements_b: DataFrame) -> DataFrame:
+    """Maps columns of equal type that stand for the same element of a group: table_a, col_a, table_b, col_b, jaccard.
+
+    ``elements_a``, ``elements_b``: (table_name, column_name, element); ``a``, ``b``: domains. The similarity of the
+    mapped columns is 0 where they share nothing; its largest is the score of the group.
+    """
+    named = lambda d, s: d.select(F.col("table_name").alias(f"table_{s}"), F.col("column_name").alias(f"col_{s}"), "dtype").distinct()
+    of = lambda e, s: e.select(F.col("table_name").alias(f"table_{s}"), F.col("column_name").alias(f"col_{s}"), "element")
+    x, y = named(a, "a").join(of(elements_a, "a"), ["table_a", "col_a"]), named(b, "b").join(of(elements_b, "b"), ["table_b", "col_b"])
+    on = ["table_a", "col_a", "table_b", "col_b"]
+    return x.join(y, ["element", "dtype"]).select(*on).join(similar_pairs(a, b).select(*on, "jaccard"), on, "left").withColumn("jaccard", F.coalesce("jaccard", F.lit(0.0)))
+
+
+def partial_maps(hits: DataFrame) -> DataFrame:
+    """(table_a, table_b, mapping): hits (table_a, col_a, table_b, col_b, score) of single columns as one map for each table."""
+    chosen = greedy(hits, ["table_a", "table_b"], "col_a", "col_b", "score")
+    return chosen.groupBy("table_a", "table_b").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col_a", "col_b")))).alias("mapping"))

@@ -182,14 +182,47 @@ def add_cells(known: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def workflow_groups(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, grp): connected components of (src, dst) named by their smallest node, by spreading the minimum until it stays."""
+    """(node, grp): connected components of (src, dst) named by their smallest node.
+
+    Each round hooks every root to the smallest root beside it and halves the chains of hooks until they end, so the
+    number of rounds grows with the logarithm of the number of nodes, not with the length of a workflow.
+    """
     from tidewater.plans.tables import settle
 
-    both = settle(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    state = settle(nodes.select("node", F.col("node").alias("grp")))
-    while True:
-        heard = both.join(state, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("grp").alias("low"))
-        new = settle(state.join(heard, F.col("node") == F.col("dst"), "left").select("node", F.least("grp", F.coalesce("low", "grp")).alias("grp"), (F.col("low") < F.col("grp")).alias("moved")))
-        if new.where("moved").isEmpty():
-            return new.select("node", "grp")
-        state = new.select("node", "grp")
+    state = settle(nodes.select("node", F.col("node").alias("grp")).distinct())
+    left = settle(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u != v").distinct())
+    while not left.isEmpty():
+        hooks = settle(left.groupBy("u").agg(F.min("v").alias("root")))
+        while True:
+            to = hooks.select(F.col("u").alias("from"), F.col("root").alias("to"))
+            hooks = settle(hooks.join(to, F.col("root") == F.col("from"), "left").select("u", F.coalesce("to", "root").alias("root"), F.col("to").isNotNull().alias("moved")))
+            if hooks.where("moved").isEmpty():
+                break
+            hooks = hooks.select("u", "root")
+        to = hooks.select(F.col("u").alias("from"), F.col("root").alias("to"))
+        follow = lambda d, c, to=to: d.join(to, F.col(c) == F.col("from"), "left").withColumn(c, F.coalesce("to", c)).drop("from", "to")
+        state = settle(follow(state, "grp"))
+        left = follow(follow(left, "u"), "v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        left = settle(left.where("u != v").distinct())
+    return state
+
+
+def table_groups(contains: DataFrame, cell_edges: DataFrame) -> DataFrame:
+    """(table_name, grp): tables whose cells are connected in a workflow share a group, named by its smallest cell.
+
+    ``contains``: (table_name, cell_id) of the cells that hold each table's variable; ``cell_edges``: (src, dst).
+    """
+    cells = contains.select(F.col("cell_id").alias("node")).unionByName(cell_edges.select(F.col("src").alias("node"))).unionByName(cell_edges.select(F.col("dst").alias("node"))).distinct()
+    # a table that stands in several cells connects them
+    first = contains.groupBy("table_name").agg(F.min("cell_id").alias("src"))
+    ties = contains.join(first, "table_name").select("src", F.col("cell_id").alias("dst")).where("src != dst")
+    groups = workflow_groups(cell_edges.select("src", "dst").unionByName(ties), cells)
+    return first.join(groups, F.col("src") == F.col("node")).select("table_name", "grp")
+
+
+def query_node(cells: DataFrame, variable: str) -> DataFrame:
+    """(view_id, node, label): star sets of the last assignment of a variable in the code of (view_id, cell_id, code); no rows where
+    the code does not assign it."""
+    found = parse_cells(cells)
+    last = last_line(found.where(F.col("lhs") == variable), variable)
+    return star_sets(dependency_graph(found), last.select("view_id", F.concat(F.lit(f"{variable}@"), F.col("line_no").cast("string")).alias("src")))

@@ -43,6 +43,17 @@ def column_jaccard(a: DataFrame, col_a: str, b: DataFrame, col_b: str) -> DataFr
     return counts.withColumn("jaccard", jaccard(F.col("shared"), F.col("n_a"), F.col("n_b")))
 
 
+def key_row_similarity(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """One row: the largest Jaccard of the values of a pair of key columns, 0 without keys."""
+    out = None
+    for x, y in pairs:
+        one = column_jaccard(a, x, b, y).select("jaccard")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return a.sparkSession.createDataFrame([(0.0,)], "jaccard double")
+    return out.agg(F.max("jaccard").alias("jaccard"))
+
+
 def record_similarity(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Mean over keys of a in b of the mean Jaccard of the cell sets of matching rows."""
     cells = lambda df: F.array_distinct(F.array(*(F.coalesce(df[c].cast("string"), F.lit("nan")) for c in columns)))
@@ -72,12 +83,23 @@ def new_row_rate(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> Da
     return out.agg(F.max("rate").alias("new_row_rate"))
 
 
-def null_fills(a: DataFrame, b: DataFrame, key: tuple[str, str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """Cells null in a that b fills, over rows matched by key, and their share of all cells of a."""
-    gone = lambda c: c.isNull()
+def values_once(df: DataFrame, column: str) -> DataFrame:
+    """(k): the values that stand exactly once in a column."""
+    return df.groupBy(F.col(f"`{column}`").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n = 1 and k is not null").select("k")
+
+
+def null_fills(a: DataFrame, b: DataFrame, key: tuple[str, str], pairs: list[tuple[str, str]], once: bool = False) -> DataFrame:
+    """Cells null or NaN in a that b fills, over rows matched by key, and their share of all cells of a.
+
+    ``once``: only over rows whose key stands once in each table, as a detected key pairs them.
+    """
+    kinds = dict([(f"a{i}", a.schema[p].dataType) for i, (p, _) in enumerate(pairs)] + [(f"b{i}", b.schema[p].dataType) for i, (_, p) in enumerate(pairs)])
+    gone = lambda c: F.col(c).isNull() | F.isnan(c) if kinds[c].typeName() in ("double", "float") else F.col(c).isNull()
     x = a.select(F.col(key[0]).alias("k"), *(F.col(p).alias(f"a{i}") for i, (p, _) in enumerate(pairs)))
     y = b.select(F.col(key[1]).alias("k"), *(F.col(p).alias(f"b{i}") for i, (_, p) in enumerate(pairs)))
-    fills = sum((F.when(gone(F.col(f"a{i}")) & ~gone(F.col(f"b{i}")), 1).otherwise(0) for i in range(len(pairs))), F.lit(0))
+    if once:
+        x, y = x.join(values_once(a, key[0]), "k"), y.join(values_once(b, key[1]), "k")
+    fills = sum((F.when(gone(f"a{i}") & ~gone(f"b{i}"), 1).otherwise(0) for i in range(len(pairs))), F.lit(0))
     size = a.agg((F.count(F.lit(1)) * len(a.columns)).alias("cells"))
     return x.join(y, "k").agg(F.coalesce(F.sum(fills), F.lit(0)).alias("fills")).crossJoin(size).select("fills", F.coalesce(F.try_divide("fills", "cells"), F.lit(0.0)).alias("nan_delta"))
 

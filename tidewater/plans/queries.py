@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import names
 from tidewater.operators import distribution, keys, matching, profiling, provenance, similarity, sketch, storage
-from tidewater.plans import search
 from tidewater.sources.lake import Lake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,32 +113,6 @@ def scan_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake(spark, sf_dir).domains().groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("n_values"))
 
 
-@query("SELECT * FROM (VALUES ('a', '1'), ('b', NULL)) v(name, x)")
-def split_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewater.sources.lake import parse_split_json
-
-    return parse_split_json('{"columns":["name","x"],"index":[0,1],"data":[["a",1],["b",null]]}', spark)
-
-
-def _size_sql(t: str, unique: bool = False) -> str:
-    bytes_ = {"long": "4", "double": "8", "string": "length(value)"}
-    return f"SELECT table_name, sum(CASE dtype WHEN 'long' THEN 4 WHEN 'double' THEN 8 ELSE {bytes_['string']} END)::BIGINT AS size FROM {'dom' if unique else 'cells'} WHERE value IS NOT NULL GROUP BY table_name"
-
-
-@query(f"WITH {_DOM} {_size_sql('cells')}")
-def storage_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = lake(spark, sf_dir)
-    out = [storage.table_size(whole.table(n)).select(F.lit(n).alias("table_name"), "size") for n in whole.names()]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
-
-
-@query(f"WITH {_DOM} SELECT * FROM ({_size_sql('dom', True)}) WHERE table_name IN ('nation', 'supplier')")
-def storage_size_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = lake(spark, sf_dir)
-    one = lambda n: storage.table_size_unique(whole.table(n)).select(F.lit(n).alias("table_name"), "size")
-    return one("nation").unionByName(one("supplier"))
-
-
 # ---- set similarity ---------------------------------------------------------------------------------------------
 @query(f"WITH {_PAIRS} SELECT table_a, col_a, table_b, col_b, n_both AS shared, round(jaccard, 9) AS jaccard FROM pairs")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,44 +129,11 @@ def row_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.column_jaccard(slice_of(spark, sf_dir, (0, 1)), "o_custkey", slice_of(spark, sf_dir, (1, 2)), "o_custkey").withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query(f"WITH {_PAIRS} SELECT round(max(jaccard), 9) AS jaccard FROM pairs WHERE table_b = 'orders_b' AND col_a = col_b AND col_a IN ('o_orderkey', 'o_custkey')")
-def key_row_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = slice_of(spark, sf_dir, (0, 1)), slice_of(spark, sf_dir, (1, 2))
-    both = similarity.column_jaccard(a, "o_orderkey", b, "o_orderkey").unionByName(similarity.column_jaccard(a, "o_custkey", b, "o_custkey"))
-    return both.agg(F.round(F.max("jaccard"), 9).alias("jaccard"))
-
-
 @query(f"WITH x AS (SELECT o_orderkey AS k, list_distinct([o_orderstatus, o_orderpriority, o_custkey::VARCHAR]) AS x FROM {_A}), y AS (SELECT o_orderkey AS k, list_distinct([o_orderstatus, o_orderpriority, o_custkey::VARCHAR]) AS y FROM {_B}) SELECT round(coalesce(avg(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))), 0), 9) AS record_similarity FROM x JOIN y USING (k)")
 def record_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.record_similarity(slice_of(spark, sf_dir, (0, 1)), slice_of(spark, sf_dir, (1, 2)), "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_custkey"]).select(r9("record_similarity"))
 
 
-_COMPONENTS = _MAPPED + (
-    ", held AS (SELECT table_name, column_name, count(*) AS n_rows, count(value) AS held FROM cells GROUP BY ALL),"
-    " per AS (SELECT c.table_b, p.jaccard, p.n_both, x.n_rows AS rows_a, x.held AS held_a, y.n_rows AS rows_b, y.held AS held_b FROM chosen c JOIN pairs p ON p.table_b = c.table_b AND p.col_a = c.a AND p.col_b = c.b"
-    " JOIN held x ON x.table_name = 'orders_a' AND x.column_name = c.a JOIN held y ON y.table_name = c.table_b AND y.column_name = c.b),"
-    " agg AS (SELECT table_b, count(*) AS mapped, max(jaccard) AS row_sim, max(1 - n_both / rows_a) AS new_row_rate, sum(CASE WHEN held_b = rows_b THEN rows_a - held_a ELSE 0 END / (rows_a * 5)) AS nan_delta FROM per GROUP BY table_b),"
-    " wide AS (SELECT table_name AS table_b, count(DISTINCT column_name) AS n_b FROM cells WHERE table_name <> 'orders_a' GROUP BY table_name),"
-    " comp AS (SELECT table_b AS table_name, 5 AS n_a, n_b, coalesce(mapped, 0) AS mapped, CASE WHEN mapped > 0 THEN mapped / (5 + n_b - mapped) ELSE 0 END AS col_sim, coalesce(row_sim, 0) AS row_sim,"
-    " (5 - coalesce(mapped, 0)) / 5 AS new_col_rate, coalesce(new_row_rate, 0) AS new_row_rate, coalesce(nan_delta, 0) AS nan_delta FROM wide LEFT JOIN agg USING (table_b))"
-)
-
-
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = lake(spark, sf_dir)
-    return search.components(whole, "orders_a", [n for n in whole.names() if n != "orders_a"])
-
-
-@query(_COMPONENTS + " SELECT table_name, n_a, n_b, mapped, round(col_sim, 9) AS col_sim FROM comp")
-def col_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).select("table_name", "n_a", "n_b", "mapped", r9("col_sim"))
-
-
-@query(_COMPONENTS + " SELECT table_name, round(new_col_rate, 9) AS new_col_rate FROM comp")
-def new_col_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).select("table_name", r9("new_col_rate"))
-
-
 @query(f"SELECT round(max(1 - shared / n), 9) AS new_row_rate FROM (SELECT (SELECT count(*) FROM {_A}) AS n, unnest([(SELECT count(DISTINCT o_orderkey) FROM {_A} WHERE o_orderkey IN (SELECT o_orderkey FROM {_B})), (SELECT count(DISTINCT o_custkey) FROM {_A} WHERE o_custkey IN (SELECT o_custkey FROM {_B}))]) AS shared)")
 def new_row_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.new_row_rate(slice_of(spark, sf_dir, (0, 1)), slice_of(spark, sf_dir, (1, 2)), [("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey")]).select(r9("new_row_rate"))
@@ -231,11 +171,6 @@ def lsh_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.bands(minhash_signature(spark, sf_dir)).withColumn("band_key", F.array_join(F.col("band_key").cast("array<string>"), ","))
 
 
-@query(f"WITH {_HASHED} SELECT part_idx, max(n) AS upper, count(*) AS num_domain FROM placed GROUP BY part_idx")
-def size_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.partition_bounds(sketch.size_partitions(lake(spark, sf_dir).domains(("string",)), 3))
-
-
 _KL = [(10, 10), (100, 10), (1000, 50)]
 
 
@@ -249,22 +184,6 @@ def optimal_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(u, q, *sketch.optimal_kl(4, 256, u, q, 0.7)) for u, q in _KL], "upper long, query_size long, k long, l long")
 
 
-_LSHE = f"WITH {_HASHED}, hit AS (SELECT DISTINCT x.table_name AS q_table, x.column_name AS q_column, y.table_name, y.column_name FROM bands x JOIN bands y ON x.band_idx = y.band_idx AND x.band_key[1:2] = y.band_key[1:2] JOIN placed p ON p.table_name = y.table_name AND p.column_name = y.column_name WHERE x.table_name = 'orders_a' AND y.band_idx < 2 + p.part_idx)"
-
-
-@query(f"{_LSHE} SELECT * FROM hit")
-def lshe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    domains = lake(spark, sf_dir).domains(("string",))
-    banded = sketch.bands(sketch.signatures(domains, NUM_HASH))
-    tuned = spark.createDataFrame([(p, 2, 2 + p) for p in range(3)], "part_idx int, k int, l int")
-    return sketch.query(banded.where("table_name = 'orders_a'"), banded, sketch.size_partitions(domains, 3), tuned)
-
-
-@query(f"WITH {_DOM} SELECT table_name, column_name, n AS n_values FROM sizes WHERE table_name NOT IN ('orders_a', 'nation')")
-def lshe_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed = spark.createDataFrame([("orders_a",), ("nation",)], "table_name string")
-    return sketch.not_indexed(lake(spark, sf_dir).domains(), indexed).groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("n_values"))
-
 
 # ---- distributions ----------------------------------------------------------------------------------------------
 _KS = (
@@ -311,11 +230,11 @@ def _in(xs: tuple[str, ...]) -> str:
 @query(
     f"WITH p AS ({_PEOPLE_SQL}), a AS (SELECT table_name, column_name, any_value(dtype) AS dtype, lower(column_name) AS nm, count(value) AS n, count(DISTINCT value) AS nd, max(try_cast(value AS BIGINT)) AS hi, min(try_cast(value AS BIGINT)) AS lo,"
     f" count(DISTINCT CASE WHEN lower(value) IN {_in(profiling.LAST_NAMES)} THEN lower(value) END) AS ln, count(DISTINCT CASE WHEN lower(value) IN {_in(profiling.FIRST_NAMES)} THEN lower(value) END) AS fn,"
-    f" coalesce(avg((regexp_matches(value, '^[^ .]*[ .][^ .]*$') AND lower(regexp_extract(value, '^([^ .]*)', 1)) IN {_in(profiling.FIRST_NAMES + profiling.TITLES)} AND lower(regexp_extract(value, '([^ .]*)$', 1)) IN {_in(profiling.LAST_NAMES)})::INT), 0) AS full,"
+    f" coalesce(avg(CASE WHEN regexp_matches(value, '^[^ .]*[ .][^ .]*$') THEN (lower(regexp_extract(value, '^([^ .]*)', 1)) IN {_in(profiling.FIRST_NAMES + profiling.TITLES)} AND lower(regexp_extract(value, '([^ .]*)$', 1)) IN {_in(profiling.LAST_NAMES)})::INT END), 0) AS full,"
     " coalesce(bool_and(lower(value) IN ('m', 'f')), true) AS g1, coalesce(bool_and(lower(value) IN ('male', 'female')), true) AS g2,"
-    r" coalesce(avg(regexp_matches(value, '^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$')::INT), 0) AS em,"
+    r" coalesce(avg(regexp_matches(value, '^\w+([.-]\w+)*@\w+([.-]\w+)*\.\w{2,3}$')::INT), 0) AS em,"
     r" coalesce(avg((regexp_matches(value, '^\d{3}-\d{2}-\d{4}$') AND value NOT LIKE '000%' AND value NOT LIKE '666%' AND value NOT LIKE '9%' AND value NOT LIKE '%-00-%' AND value NOT LIKE '%-0000')::INT), 0) AS ss,"
-    r" coalesce(avg((length(value) <= 200 AND regexp_matches(value, '^\d+\s+[A-Za-z0-9 .]+,.*\b[A-Z]{2}\b'))::INT), 0) AS ad FROM p WHERE dtype <> 'double' GROUP BY table_name, column_name)"
+    r" coalesce(avg((length(value) <= 200 AND regexp_matches(value, '^\s*\d+[A-Za-z]?\s+[^,]*[A-Za-z].*[\s,](" + "|".join(profiling.STATES) + r")([\s,]+\d{5}(-\d{4})?)?\s*$'))::INT), 0) AS ad FROM p WHERE dtype <> 'double' GROUP BY table_name, column_name)"
     " SELECT table_name, column_name, CASE WHEN dtype = 'string' AND (nm IN ('surname', 'last name') OR ln / greatest(n, 1) > 0.8) THEN 'last_name' WHEN dtype = 'string' AND (nm IN ('given name', 'first name') OR fn / greatest(n, 1) > 0.8) THEN 'first_name'"
     " WHEN dtype = 'string' AND (nm = 'name' OR \"full\" > 0.64) THEN 'full_name' WHEN dtype = 'string' AND (nm IN ('gender', 'sex') OR g1 OR g2) THEN 'gender' WHEN dtype = 'long' AND (nm = 'age' OR (nd >= 20 AND hi <= 120 AND lo > 1)) THEN 'age'"
     " WHEN dtype = 'string' AND (nm = 'email' OR em > 0.8) THEN 'email' WHEN dtype = 'string' AND (nm = 'ssn' OR ss > 0.8) THEN 'ssn' WHEN dtype = 'string' AND (nm = 'address' OR ad > 0.8) THEN 'address' END AS label FROM a"
@@ -337,32 +256,6 @@ def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.candidate_keys(profiling.column_profiles(lake(spark, sf_dir).cells())).select("table_name", "column_name", r9("key_score"))
 
 
-_CANDIDATES = (
-    f"WITH {_PAIRS}, prof AS (SELECT table_name, column_name, dtype, count(DISTINCT value) AS n_distinct, count(DISTINCT value) / count(*) AS key_score FROM cells GROUP BY ALL),"
-    " ctx AS (SELECT 'orders_a' AS table_a, 'o_custkey' AS col_a, 'customer' AS table_b, 'c_custkey' AS col_b, 1 AS seen, 2 AS occurrences),"
-    " cand AS (SELECT a.table_name AS table_a, a.column_name AS col_a, b.table_name AS table_b, b.column_name AS col_b, 0.2 * CASE WHEN seen > 0 THEN (seen + 1) / (occurrences + 1) ELSE 0 END + 0.4 * coalesce(containment, 0) + 0.4 * (1 / (abs(a.key_score - b.key_score) + 1) - 0.5) AS score"
-    " FROM prof a JOIN prof b ON a.dtype = b.dtype AND a.dtype <> 'double' AND a.n_distinct >= 5 AND b.n_distinct >= 5 LEFT JOIN pairs p ON p.table_a = a.table_name AND p.col_a = a.column_name AND p.table_b = b.table_name AND p.col_b = b.column_name"
-    " LEFT JOIN ctx c ON c.col_a = a.column_name AND c.col_b = b.column_name WHERE a.table_name = 'orders_a' AND b.table_name <> 'orders_a')"
-)
-
-
-def _candidates(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
-    whole = lake(spark, sf_dir)
-    profiles = profiling.column_profiles(whole.cells())
-    context = spark.createDataFrame([("orders_a", "o_custkey", "customer", "c_custkey", 1, 2)], "table_a string, col_a string, table_b string, col_b string, seen int, occurrences int")
-    return profiling.candidate_pairs(profiles.where("table_name = 'orders_a'"), profiles.where("table_name != 'orders_a'"), similarity.similar_pairs(*_domains(spark, sf_dir)), context, threshold)
-
-
-@query(f"{_CANDIDATES} SELECT table_a, col_a, table_b, col_b, round(score, 9) AS score FROM cand WHERE score > 0.3")
-def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir, 0.3).withColumn("score", F.round("score", 9))
-
-
-@query(f"{_CANDIDATES} SELECT DISTINCT table_b AS table_name FROM cand WHERE score > 0.5")
-def search_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir, 0.5).select(F.col("table_b").alias("table_name")).distinct()
-
-
 def _registry(spark: SparkSession, sf_dir: str, rests: tuple[int, ...]) -> DataFrame:
     rows = slice_of(spark, sf_dir, rests).groupBy(F.col("o_custkey").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return rows.select(F.lit("custkey").alias("attribute"), "value", "n")
@@ -434,48 +327,15 @@ def match_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_names(columns.where("table_name = 'orders_a'"), columns, spark.createDataFrame([("orders_a", "o_custkey", "orders_b")], "table_a string, col_a string, table_b string"))
 
 
-@query("SELECT 'orders_a' AS table_a, c AS col_a, 'orders_b' AS table_b, c AS col_b FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderpriority')) v(c)")
-def match_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = lake(spark, sf_dir).columns()
-    groups = spark.createDataFrame([("orders_a", 1), ("orders_b", 1), ("customer", 2)], "table_name string, grp int")
-    return matching.match_workflow(spark.createDataFrame(_KNOWN, _FOUR), matching.match_names(columns.where("table_name = 'orders_a'"), columns), groups)
-
-
 @query(f"WITH RECURSIVE {_PAIRS}" + _greedy("(SELECT * FROM pairs WHERE jaccard > 0.2 AND col_a = 'o_totalprice' AND (col_b LIKE '%price' OR col_b LIKE '%bal'))") + " SELECT 'orders_a' AS table_a, a AS col_a, table_b, b AS col_b FROM chosen UNION ALL SELECT 'orders_a', 'o_orderkey', 'orders_b', 'o_orderkey'")
 def match_full_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_full(*_domains(spark, sf_dir), spark.createDataFrame(_KNOWN, _FOUR), 0.2)
 
 
-@query(f"{_CANDIDATES} SELECT DISTINCT table_name FROM (SELECT table_b AS table_name FROM cand WHERE score > 0.5 UNION ALL " + "SELECT y.table_name FROM dom x JOIN dom y ON x.table_name = 'orders_a' AND y.table_name <> 'orders_a' AND x.dtype = 'string' AND y.dtype = 'string' AND x.value = y.value GROUP BY x.column_name, y.table_name, y.column_name HAVING count(*) = (SELECT n FROM sizes s WHERE s.table_name = 'orders_a' AND s.column_name = x.column_name) AND count(*) = (SELECT n FROM sizes s WHERE s.table_name = y.table_name AND s.column_name = y.column_name))")
-def candidate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    domains = lake(spark, sf_dir).domains(("string",))
-    banded = sketch.bands(sketch.signatures(domains, NUM_HASH))
-    every = spark.createDataFrame([(0, 4, 4)], "part_idx int, k int, l int")
-    strings = sketch.query(banded.where("table_name = 'orders_a'"), banded.where("table_name != 'orders_a'"), sketch.size_partitions(domains, 1), every)
-    return strings.select("table_name").unionByName(_candidates(spark, sf_dir, 0.5).select(F.col("table_b").alias("table_name"))).distinct()
-
-
 # ---- keys -------------------------------------------------------------------------------------------------------
 _SAME = {c: c for c in ORDER_COLUMNS}
 
 
-@query(
-    f"WITH p AS (SELECT a.*, b.o_custkey AS c2, b.o_orderstatus AS s2, b.o_totalprice AS t2, b.o_orderpriority AS p2 FROM {_A} a JOIN {_B} b USING (o_orderkey)), u AS (SELECT count(DISTINCT o_orderkey) AS n FROM orders WHERE o_orderkey % 4 IN (0, 1, 2))"
-    " SELECT 'o_orderkey' AS key_a, 'o_orderkey' AS key_b, count(*) AS n_pairs, round(count(*) / any_value(n), 9) AS ratio, 'o_custkey,o_orderpriority,o_orderstatus,o_totalprice' AS dependents,"
-    " sum((o_custkey = c2)::INT + (o_orderstatus = s2)::INT + (o_totalprice = t2)::INT + (o_orderpriority = p2)::INT)::BIGINT AS equal_cells FROM p, u"
-)
-def detect_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = keys.detect_key(slice_of(spark, sf_dir, (0, 1)), slice_of(spark, sf_dir, (1, 2)), _SAME, ["o_orderkey"])
-    return found.withColumn("ratio", F.round("ratio", 9))
-
-
-@query("SELECT 'c_custkey' AS key_a, 'o_custkey' AS key_b, count(*) AS n_pairs, round(count(*) / (SELECT count(DISTINCT k) FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT o_custkey FROM orders)), 9) AS ratio FROM customer JOIN orders ON c_custkey = o_custkey")
-def detect_foreign_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, orders = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("customer", "orders"))
-    found = keys.detect_key(customer, orders, {"c_custkey": "o_custkey", "c_mktsegment": "o_orderpriority"}, ["c_custkey"], key_threshold=0.1, dependent_threshold=0.05, foreign=True)
-    return found.select("key_a", "key_b", "n_pairs", r9("ratio"))
-
-
 @query(f"SELECT round((SELECT count(*) FROM (SELECT o_orderkey, o_custkey FROM {_A} UNION SELECT o_orderkey, o_custkey FROM {_B})) / ((SELECT count(*) FROM {_A}) + (SELECT count(*) FROM {_B})), 9) AS score")
 def common_key_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.common_key_score(slice_of(spark, sf_dir, (0, 1)), slice_of(spark, sf_dir, (1, 2)), {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey"}, "o_orderkey", 0.1).select(r9("score"))
@@ -495,23 +355,6 @@ def approx_join_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.approximate_join_key(customer, supplier, "c_nationkey", "s_nationkey").select(r9("score"))
 
 
-_ROWSIM = f"(SELECT (SELECT count(*) FROM {_A} WHERE o_orderkey IN (SELECT o_orderkey FROM {_B})) / (SELECT count(*) FROM orders WHERE o_orderkey % 4 IN (0, 1, 2)))"
-
-
-def _row_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.column_jaccard(slice_of(spark, sf_dir, (0, 1)), "o_orderkey", slice_of(spark, sf_dir, (1, 2)), "o_orderkey").withColumnRenamed("jaccard", "row_similarity")
-
-
-@query(f"SELECT round(0.5 * 5 / 5 + 0.5 * {_ROWSIM}, 9) AS score")
-def rel_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.table_relatedness(_row_similarity(spark, sf_dir), 5, 5, 5, 0.5).select(r9("score"))
-
-
-@query(f"SELECT round(0.5 * (1 + 4 * 0.5) / 7 + 0.5 * {_ROWSIM}, 9) AS score")
-def rel_joinable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.table_relatedness(_row_similarity(spark, sf_dir), 5, 5, 3, 0.5, 0.5, joinable=True).select(r9("score"))
-
-
 # ---- provenance -------------------------------------------------------------------------------------------------
 _CODE = [
     ("v1", 1, "df = pd.read_csv(path)\nsmall = df[df.x > 3]"), ("v1", 2, "%time\n# note\nout = small.groupby(k).sum()\ndef f(a):\n    b = a\n    return b\nbad line here"),
@@ -624,73 +467,8 @@ def workflow_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.workflow_groups(spark.createDataFrame(_CELL_EDGES, "src int, dst int"), spark.range(1, 10).select(F.col("id").cast("int").alias("node")))
 
 
-@query("WITH RECURSIVE " + _STAR_SQL + " SELECT node, label FROM star WHERE view_id = 'v2'")
-def query_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = provenance.parse_cells(spark.createDataFrame([r for r in _CODE if r[0] == "v2"], "view_id string, cell_id int, code string"))
-    last = provenance.last_line(found, "out").select("view_id", F.concat(F.lit("out@"), "line_no").alias("src"))
-    return provenance.star_sets(provenance.dependency_graph(found), last).select("node", "label")
-
-
 # ---- ranking ----------------------------------------------------------------------------------------------------
-_PROV = [("orders_b", 0.4), ("customer", 0.1)]
-_PROV_SQL = ", " + _values(_PROV, "prov", "table_name, prov") + ", cp AS (SELECT comp.*, coalesce(prov, 0)::DOUBLE AS prov FROM comp LEFT JOIN prov USING (table_name))"
-_BOUND_SQL = ", ub AS (SELECT table_name, prov, CASE WHEN mapped > 0 THEN least(n_a, n_b) / (n_a + n_b - mapped) ELSE 0 END AS col_ub, row_sim AS row_ub, CASE WHEN mapped > 0 THEN new_col_rate ELSE 1 END AS new_col_ub, new_row_rate AS new_row_ub, nan_delta AS nan_ub FROM cp)"
-
-
-def _search(spark: SparkSession, sf_dir: str, mode: int) -> DataFrame:
-    return search.search(lake(spark, sf_dir), "orders_a", mode, 3, provenance=spark.createDataFrame(_PROV, "table_name string, prov double")).select("table_name", r9("score"))
-
-
-@query(_COMPONENTS + _PROV_SQL + " SELECT table_name, round(0.5 * prov + 0.2 * col_sim + 0.3 * new_row_rate, 9) AS score FROM cp ORDER BY score DESC, table_name LIMIT 3")
-def search_additional_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, search.TRAINING)
-
-
-@query(_COMPONENTS + _PROV_SQL + " SELECT table_name, round(0.4 * prov + 0.4 * row_sim + 0.2 * new_col_rate, 9) AS score FROM cp ORDER BY score DESC, table_name LIMIT 3")
-def search_alternative_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, search.FEATURES)
-
-
-@query(_COMPONENTS + _PROV_SQL + " SELECT table_name, round(0.4 * prov + 0.4 * col_sim + 0.1 * row_sim + 0.1 * nan_delta, 9) AS score FROM cp ORDER BY score DESC, table_name LIMIT 3")
-def search_data_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, search.CLEANING)
-
-
-@query(_COMPONENTS + _PROV_SQL + _BOUND_SQL + " SELECT table_name, round(col_ub, 9) AS col_ub, round(row_ub, 9) AS row_ub, round(new_col_ub, 9) AS new_col_ub, round(new_row_ub, 9) AS new_row_ub, round(nan_ub, 9) AS nan_ub FROM ub")
-def ub_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.upper_bounds(_parts(spark, sf_dir)).select("table_name", *(r9(c) for c in ("col_ub", "row_ub", "new_col_ub", "new_row_ub", "nan_ub")))
-
-
-def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = search.upper_bounds(_parts(spark, sf_dir)).join(spark.createDataFrame(_PROV, "table_name string, prov double"), "table_name", "left")
-    return search.sorted_access(bounds, search.TRAINING, F.coalesce("prov", F.lit(0.0)))
-
-
-@query(_COMPONENTS + _PROV_SQL + _BOUND_SQL + " SELECT table_name, round(0.5 * prov + 0.2 * max(col_ub) OVER () + 0.3 * max(new_row_ub) OVER (), 9) AS ub FROM ub")
-def sorted_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bounded(spark, sf_dir).select("table_name", r9("ub"))
-
-
-@query(_COMPONENTS + _PROV_SQL + " SELECT table_name, round(0.5 * prov + 0.2 * col_sim + 0.3 * new_row_rate, 9) AS score FROM cp ORDER BY score DESC, table_name LIMIT 2")
-def threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prov = spark.createDataFrame(_PROV, "table_name string, prov double")
-    scored = _parts(spark, sf_dir).join(prov, "table_name", "left").select("table_name", search.score(search.TRAINING, F.coalesce("prov", F.lit(0.0))).alias("score"))
-    return search.threshold_topk(scored.join(_bounded(spark, sf_dir), "table_name"), 2).select("table_name", r9("score"))
-
-
-@query("SELECT * FROM (VALUES ('a', 0.5, 0.1), ('b', 0.9, 0.2), ('c', 0.3, 0.4)) v(table_name, col_sim, row_sim)")
-def topk_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = "table_name string, col_sim double, row_sim double"
-    return search.merge_state(spark.createDataFrame([("a", 0.5, 0.1), ("b", 0.1, 0.2)], kind), spark.createDataFrame([("b", 0.9, None), ("c", 0.3, 0.4)], kind), ["col_sim", "row_sim"])
-
-
 # ---- storage cost -----------------------------------------------------------------------------------------------
-@query("SELECT count(*) AS n_join, round(count(*) / (SELECT count(*) FROM customer), 9) AS score_a, round(count(*) / (SELECT count(*) FROM orders), 9) AS score_b FROM customer JOIN orders ON c_custkey = o_custkey")
-def join_benefit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, orders = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("customer", "orders"))
-    return storage.join_score(customer, orders, "c_custkey", "o_custkey").select("n_join", r9("score_a"), r9("score_b"))
-
-
 _PART = "(SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 4 = 0)"
 
 
@@ -701,28 +479,6 @@ def union_benefit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.union_benefit(part, a, columns).unionByName(storage.union_benefit(slice_of(spark, sf_dir, (2,)).where("o_orderkey % 8 = 2"), a, columns))
 
 
-_STATS = [(1000, 500, 3.0, 120, 400, 50, 700, 100)]
-_STATS_KIND = "size long, n_rows long, run_time double, code_length long, union_saved long, union_rows long, join_saved long, join_rows long"
-_COST_SQL = "WITH s(strategy, cost) AS (VALUES ('separate', 0.9 * 1000 + 0.1 * 0.01 * 500), ('lineage', 0.1 * 3 + 0.9 * 120), ('join_row', 0.9 * 300 + 0.1 * 0.01 * 100), ('union_row', 0.9 * 600 + 0.1 * 0.01 * 50))"
-
-
-@query(_COST_SQL + " SELECT strategy, round(cost::DOUBLE, 6) AS cost FROM s")
-def strategy_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.strategy_costs(spark.createDataFrame(_STATS, _STATS_KIND)).select("strategy", F.round("cost", 6).alias("cost"))
-
-
-@query(_COST_SQL + " SELECT strategy, round(cost::DOUBLE, 6) AS cost FROM s ORDER BY cost LIMIT 1")
-def choose_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.choose_strategy(spark.createDataFrame(_STATS, _STATS_KIND)).select("strategy", F.round("cost", 6).alias("cost"))
-
-
-@query("SELECT 'orders_b' AS table_name, n_join FROM (SELECT count(*) AS n_join FROM " + _A + " a JOIN " + _B + " b USING (o_orderkey))")
-def best_join_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = slice_of(spark, sf_dir, (0, 1)), slice_of(spark, sf_dir, (1, 2))
-    other = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumnRenamed("n_nationkey", "o_orderkey")
-    both = storage.join_score(a, b, "o_orderkey", "o_orderkey").withColumn("table_name", F.lit("orders_b")).unionByName(storage.join_score(a, other, "o_orderkey", "o_orderkey").withColumn("table_name", F.lit("nation")))
-    return both.agg(F.max_by("table_name", F.struct("n_join", "table_name")).alias("table_name"), F.max("n_join").alias("n_join"))
-
 
 # ---- names ------------------------------------------------------------------------------------------------------
 @query("SELECT * FROM (VALUES ('My-Awesome-Notebook.ipynb', 'MyAwesomeNotebook'), ('a/b/c_d.ipynb', 'bcd'), ('x', 'x')) v(name, clean)")
@@ -757,8 +513,3 @@ def name_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(a, b, round(names.name_ratio(a, b), 9)) for a, b in pairs], "a string, b string, ratio double")
 
 
-@query("SELECT * FROM (VALUES (2, NULL), (5, 2), (9, 5)) v(cell_id, prev)")
-def prev_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return spark.createDataFrame([(2, "nb"), (5, "nb"), (9, "nb")], "cell_id int, nb string").select("cell_id", F.lag("cell_id").over(Window.partitionBy("nb").orderBy("cell_id")).alias("prev"))

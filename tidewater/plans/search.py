@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.matching import match_naive
-from tidewater.operators.similarity import similar_pairs
+from tidewater.operators import provenance
+from tidewater.operators.keys import detect_key
+from tidewater.operators.matching import THRESHOLD, greedy
+from tidewater.operators.similarity import column_similarity, new_column_rate, null_fills, similar_pairs
+from tidewater.plans.tables import settle
 from tidewater.sources.lake import Lake
 
 TRAINING, FEATURES, CLEANING = 1, 2, 3
@@ -26,38 +29,89 @@ class Weights:
 #: The weights of the three tasks, and the number of tables returned.
 TASKS = {TRAINING: Weights(0.5, 0.2), FEATURES: Weights(0.4, 0.4), CLEANING: Weights(0.4, 0.4, 0.1)}
 RETURNED = 10
+COMPONENTS = ["table_name", "keys", "n_a", "n_b", "mapped", "col_sim", "row_sim", "new_col_rate", "new_row_rate", "nan_delta"]
 
 
-def components(lake: Lake, query: str, candidates: list[str], threshold: float = 0.5) -> DataFrame:
-    """A row for each candidate: n_a, n_b, mapped, col_sim, row_sim, new_col_rate, new_row_rate, nan_delta.
+def column_stats(lake: Lake) -> DataFrame:
+    """(table_name, column_name, rows, held, ones): rows, non-null cells, and values that stand once, from the lake's values."""
+    held = F.col("value").isNotNull()
+    return lake.values().groupBy("table_name", "column_name").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(held, F.col("n"))), F.lit(0)).alias("held"))
 
-    All candidates are compared in one plan over the long form of their columns. row_sim is the best Jaccard of a mapped
-    pair, new_row_rate the largest share of the query's rows that a mapped column lacks, nan_delta the share of the
-    query's cells that are null in mapped columns which the candidate has without nulls.
+
+def mapped_pairs(lake: Lake, query: str, candidates: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """Mapped column pairs of the query with every candidate, from the lake's values: table_b, col_a, col_b, dtype, jaccard,
+    both, n_a, rows and held of either side. Staged, as the steps of a search read it several times."""
+    lake.values()
+    domains = lake.domains()
+    a, b = domains.where(F.col("table_name") == query), domains.where(F.col("table_name").isin(*candidates))
+    scored = similar_pairs(a, b)
+    mapping = greedy(scored, ["table_a", "table_b"], "col_a", "col_b", "jaccard", ("pos_a", "pos_b"), threshold).drop("jaccard")
+    stats = lambda s: column_stats(lake).select(F.col("table_name").alias(f"table_{s}"), F.col("column_name").alias(f"col_{s}"), F.col("rows").alias(f"rows_{s}"), F.col("held").alias(f"held_{s}"))
+    pairs = mapping.join(scored, ["table_a", "col_a", "table_b", "col_b"]).join(stats("a"), ["table_a", "col_a"]).join(stats("b"), ["table_b", "col_b"])
+    return settle(pairs.select("table_b", "col_a", "pos_a", "col_b", "dtype", "jaccard", "both", "n_a", "rows_a", "held_a", "rows_b", "held_b"))
+
+
+def bounds(lake: Lake, query: str, candidates: list[str], pairs: DataFrame) -> DataFrame:
+    """(table_name, n_a, n_b, mapped, col_ub, row_ub, new_col_ub, new_row_ub, nan_ub): what a candidate can reach at most.
+
+    All come from the catalog and the staged pairs: a map has at most as many pairs as the smaller table has columns; keys
+    are among the mapped columns, so the best mapped Jaccard and the largest share of new values bound what keys give; a
+    candidate fills at most the nulls of mapped columns. An unmapped table has no common rows and only new columns.
     """
-    spark = lake.spark
-    own, others = Lake(spark, {query: lake.table(query)}), Lake(spark, {n: lake.table(n) for n in candidates})
-    a, b = own.domains(), others.domains()
-    mapping = match_naive(a, b, threshold)
-    on = ["table_a", "col_a", "table_b", "col_b"]
-    pairs = mapping.join(similar_pairs(a, b).select(*on, "both", "n_a"), on)
-    cells = lambda lake, s: lake.cells().groupBy(F.col("table_name").alias(f"table_{s}"), F.col("column_name").alias(f"col_{s}")).agg(F.count(F.lit(1)).alias(f"rows_{s}"), F.count("value").alias(f"held_{s}"))
-    pairs = pairs.join(cells(own, "a"), ["table_a", "col_a"]).join(cells(others, "b"), ["table_b", "col_b"])
-    wide = len([c for c in own.cells().select("column_name").distinct().collect()])
-    sizes = others.columns().where("dtype in ('long', 'double', 'string')").groupBy(F.col("table_name").alias("table_b")).agg(F.count(F.lit(1)).alias("n_b"))
-    scores = pairs.groupBy("table_b").agg(
-        F.count(F.lit(1)).alias("mapped"), F.max("jaccard").alias("row_sim"), F.max(1 - F.col("both") / F.col("rows_a")).alias("new_row_rate"),
-        F.sum(F.when(F.col("held_b") == F.col("rows_b"), F.col("rows_a") - F.col("held_a")).otherwise(0) / (F.col("rows_a") * wide)).alias("nan_delta"),
+    wide = {n: len(lake.table(n).columns) for n in (query, *candidates)}
+    sizes = lake.spark.createDataFrame([(n, wide[query], wide[n]) for n in candidates], "table_name string, n_a int, n_b int")
+    best = pairs.groupBy(F.col("table_b").alias("table_name")).agg(
+        F.count(F.lit(1)).alias("mapped"), F.max("jaccard").alias("row_ub"), F.max(1 - F.try_divide("both", "rows_a")).alias("new_row_ub"),
+        F.sum(F.try_divide(F.col("rows_a") - F.col("held_a"), F.col("rows_a") * wide[query])).alias("nan_ub"),
     )
-    out = sizes.join(scores, "table_b", "left").withColumn("mapped", F.coalesce("mapped", F.lit(0))).withColumn("n_a", F.lit(wide))
-    col_sim = F.when(F.col("mapped") > 0, F.col("mapped") / (F.col("n_a") + F.col("n_b") - F.col("mapped"))).otherwise(F.lit(0.0))
+    out = sizes.join(best, "table_name", "left").withColumn("mapped", F.coalesce("mapped", F.lit(0)))
+    col = F.when(F.col("mapped") > 0, F.try_divide(F.least("n_a", "n_b"), F.col("n_a") + F.col("n_b") - F.col("mapped"))).otherwise(F.lit(0.0))
+    new_col = F.when(F.col("mapped") > 0, F.try_divide(F.col("n_a") - F.col("mapped"), "n_a")).otherwise(F.lit(1.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return out.select(F.col("table_b").alias("table_name"), "n_a", "n_b", "mapped", col_sim.alias("col_sim"), zero("row_sim"), ((F.col("n_a") - F.col("mapped")) / F.col("n_a")).alias("new_col_rate"), zero("new_row_rate"), zero("nan_delta"))
+    return out.select("table_name", "n_a", "n_b", "mapped", F.coalesce(col, F.lit(0.0)).alias("col_ub"), zero("row_ub"), F.coalesce(new_col, F.lit(0.0)).alias("new_col_ub"), zero("new_row_ub"), zero("nan_ub"))
+
+
+def random_access(lake: Lake, query: str, names: list[str], pairs: DataFrame, supplied: list[str] | None = None, with_nulls: bool = True) -> DataFrame:
+    """(table_name, keys, n_a, n_b, mapped, col_sim, row_sim, new_col_rate, new_row_rate, nan_delta) of some candidates.
+
+    Keys are the supplied ones that are mapped, or else the best detected one. Similarity of rows and the rate of new rows
+    are the largest over the keys; without a key they are 0, as are the cells that the candidate fills.
+    """
+    a = lake.table(query)
+    maps: dict[str, list] = {n: [] for n in names}
+    for r in sorted(pairs.where(F.col("table_b").isin(*names)).collect(), key=lambda r: r["pos_a"]):
+        maps[r["table_b"]].append(r)
+    detected = None
+    for n, own in maps.items():
+        one = None if supplied else detect_key(a, lake.table(n), {r["col_a"]: r["col_b"] for r in own}).limit(1).select(F.lit(n).alias("table_name"), "key_a")
+        if one is not None:
+            detected = one if detected is None else detected.unionByName(one)
+    best = {} if detected is None else {r["table_name"]: [r["key_a"]] for r in detected.collect()}
+    rows, fills = [], None
+    for n, own in maps.items():
+        b, by, n_a = lake.table(n), {r["col_a"]: r for r in own}, len(a.columns)
+        keys = [k for k in supplied if k in by] if supplied else best.get(n, [])
+        jaccard, fresh = max((by[k]["jaccard"] for k in keys), default=0.0), max((1 - by[k]["both"] / by[k]["rows_a"] for k in keys), default=0.0)
+        rows.append((n, ",".join(keys), n_a, len(b.columns), len(own), column_similarity(n_a, len(b.columns), len(own)), jaccard, new_column_rate(n_a, len(own)), fresh))
+        if with_nulls and keys:
+            one = null_fills(a, b, (keys[0], by[keys[0]]["col_b"]), [(r["col_a"], r["col_b"]) for r in own], once=True).select(F.lit(n).alias("table_name"), "nan_delta")
+            fills = one if fills is None else fills.unionByName(one)
+    kind = "table_name string, keys string, n_a int, n_b int, mapped int, col_sim double, row_sim double, new_col_rate double, new_row_rate double"
+    out = lake.spark.createDataFrame(rows, kind)
+    if fills is None:
+        return out.withColumn("nan_delta", F.lit(0.0))
+    return out.join(fills, "table_name", "left").withColumn("nan_delta", F.coalesce("nan_delta", F.lit(0.0)))
+
+
+def _weights(mode: int, weights: Weights | None) -> Weights:
+    if mode not in TASKS:
+        raise ValueError(f"no search task {mode}: {sorted(TASKS)}")
+    return weights or TASKS[mode]
 
 
 def score(mode: int, provenance: Column, weights: Weights | None = None) -> Column:
-    """The task's weighted sum over the columns of components()."""
-    w = weights or TASKS.get(mode, TASKS[CLEANING])
+    """The task's weighted sum over the columns of random_access()."""
+    w = _weights(mode, weights)
     if mode == TRAINING:
         return w.alpha * provenance + w.beta * F.col("col_sim") + (1 - w.alpha - w.beta) * F.col("new_row_rate")
     if mode == FEATURES:
@@ -65,24 +119,84 @@ def score(mode: int, provenance: Column, weights: Weights | None = None) -> Colu
     return w.alpha * provenance + w.beta * F.col("col_sim") + w.gamma * F.col("row_sim") + (1 - w.alpha - w.beta - w.gamma) * F.col("nan_delta")
 
 
-def search(lake: Lake, query: str, mode: int, k: int = RETURNED, candidates: list[str] | None = None, provenance: DataFrame | None = None, weights: Weights | None = None) -> DataFrame:
-    """The k best candidates: table_name, score, ties by name. ``provenance``: (table_name, prov) of code similarity in 0..1."""
-    found = components(lake, query, [n for n in candidates or lake.names() if n != query])
-    found = found.withColumn("prov", F.lit(0.0)) if provenance is None else found.join(provenance, "table_name", "left").withColumn("prov", F.coalesce("prov", F.lit(0.0)))
-    return found.select("table_name", score(mode, F.col("prov"), weights).alias("score")).orderBy(F.desc("score"), "table_name").limit(k)
+def provenance_of(lake: Lake, names: list[str], query: DataFrame, stars: DataFrame) -> DataFrame:
+    """(table_name, prov): how alike the code that made each table is to the query's, 0 to 0.5; 0 for tables without code.
 
+    ``query``: (node, label), the star sets of the query; ``stars``: (view_id, node, label), view ids being table names.
+    """
+    tables = lake.spark.createDataFrame([(n,) for n in names], "view_id string")
+    distances = provenance.mapping_distance(query, stars.join(tables, "view_id", "left_semi"))
+    return provenance.provenance_score(tables, distances, 1.0).select(F.col("view_id").alias("table_name"), F.col("prov_score").alias("prov"))
 
-def upper_bounds(parts: DataFrame, query_nulls: Column | None = None) -> DataFrame:
-    """Cheap bounds of each component: column similarity, row similarity, new columns, new rows, and filled nulls."""
-    col = F.when(F.col("mapped") > 0, F.least("n_a", "n_b") / (F.col("n_a") + F.col("n_b") - F.col("mapped"))).otherwise(F.lit(0.0))
-    new_col = F.when(F.col("mapped") > 0, F.col("new_col_rate")).otherwise(F.lit(1.0))
-    return parts.select("table_name", col.alias("col_ub"), F.col("row_sim").alias("row_ub"), new_col.alias("new_col_ub"), F.col("new_row_rate").alias("new_row_ub"), (F.col("nan_delta") if query_nulls is None else query_nulls).alias("nan_ub"))
 
+@dataclass
+class Found:
+    """Hits, best first, the components of every table that was scored, and the bounds they were chosen by."""
 
-def sorted_access(bounds: DataFrame, mode: int, provenance: Column) -> DataFrame:
+    hits: DataFrame
+    scored: DataFrame
+    bounds: DataFrame
+
+
+def search(lake: Lake, query: str, mode: int, k: int = RETURNED, candidates: list[str] | None = None, provenance: DataFrame | None = None, weights: Weights | None = None, supplied: list[str] | None = None, theta: float = 1.0, state: DataFrame | None = None) -> Found:
+    """The k best candidates for a task: hits (table_name, score), ties by name.
+
+    Candidates are taken in order of their bounds, k at a time, and scored by random access, until the next bound is not
+    above theta x the k-th best score. ``provenance``: (table_name, prov) in 0..1; ``state``: components of tables that an
+    earlier search scored, which are not computed again. One row a candidate comes to the driver.
+    """
+    w = _weights(mode, weights)
+    names = [n for n in (lake.names() if candidates is None else candidates) if n != query]
+    pairs = mapped_pairs(lake, query, names)
+    prov = lake.spark.createDataFrame([(n, 0.0) for n in names], "table_name string, prov double") if provenance is None else provenance
+    known = settle(bounds(lake, query, names, pairs).join(prov.select("table_name", "prov"), "table_name", "left").withColumn("prov", F.coalesce("prov", F.lit(0.0))))
+    ranked = sorted_access(known, mode, F.col("prov"), w).collect()
+    done, order = None, [(r["table_name"], r["ub"]) for r in ranked]
+    while order:
+        taken, order = order[:k], order[k:]
+        own = [n for n, _ in taken]
+        kept = None if state is None else state.where(F.col("table_name").isin(*own))
+        old = set() if kept is None else {r["table_name"] for r in kept.select("table_name").collect()}
+        part = None if old >= {*own} else random_access(lake, query, [n for n in own if n not in old], pairs, supplied, mode == CLEANING)
+        part = settle(part if not old else kept.select(*COMPONENTS) if part is None else part.select(*COMPONENTS).unionByName(kept.select(*COMPONENTS)))
+        done = part.select(*COMPONENTS) if done is None else done.unionByName(part.select(*COMPONENTS))
+        total = done.join(prov.select("table_name", "prov"), "table_name", "left").select("*", score(mode, F.coalesce("prov", F.lit(0.0)), w).alias("score"))
+        best = [r["score"] for r in total.orderBy(F.desc("score")).limit(k).select("score").collect()]
+        if order and len(best) >= k and order[0][1] <= theta * best[-1]:
+            break
+    if done is None:
+        empty = lake.spark.createDataFrame([], "table_name string, score double")
+        return Found(empty, empty, known)
+    return Found(total.select("table_name", "score").orderBy(F.desc("score"), "table_name").limit(k), done, known)
+
+
+def dispatch(lake: Lake, mode: int, query: str, **options):
+    """Mode 0 tells whether a table of that name is there; modes 1 to 3 search for it."""
+    return query in lake.names() if mode == 0 else search(lake, query, mode, **options)
+
+
+def result_rows(lake: Lake, hits: DataFrame, rows: int = 10, columns: int = 5) -> DataFrame:
+    """(rank, table_name, score, kind, n_cells, preview): the hits as they are shown; a preview has the first rows in order of
+    their text and the first columns, as an HTML table. There are at most as many hits as are returned."""
+    out = None
+    for rank, r in enumerate(hits.collect(), 1):
+        df = lake.table(r["table_name"])
+        shown = df.columns[:columns]
+        cell = lambda c: F.concat(F.lit("<td>"), F.replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</td>"))
+        line = df.select(F.concat(F.lit("<tr>"), *map(cell, shown), F.lit("</tr>")).alias("line")).orderBy("line").limit(rows)
+        head = "<table><tr>" + "".join(f"<th>{c}</th>" for c in shown) + "</tr>"
+        html = line.agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("line")), ""), F.lit("</table>")).alias("preview"))
+        size = df.agg((F.count(F.lit(1)) * len(df.columns)).alias("n_cells"))
+        one = size.crossJoin(html).select(F.lit(rank).alias("rank"), F.lit(r["table_name"]).alias("table_name"), F.lit(r["score"]).alias("score"), F.lit("table").alias("kind"), "n_cells", "preview")
+        out = one if out is None else out.unionByName(one)
+    return lake.spark.createDataFrame([], "rank int, table_name string, score double, kind string, n_cells long, preview string") if out is None else out
+
+
+def sorted_access(bounds: DataFrame, mode: int, provenance: Column, weights: Weights | None = None) -> DataFrame:
     """(table_name, ub) by bound, best first: own provenance with the largest bound of any candidate for the rest."""
-    w, whole = TASKS[mode], Window.partitionBy()
-    top = lambda c: F.max(c).over(whole)  # noqa: E731  one row a candidate
+    w = _weights(mode, weights)
+    most = bounds.agg(*(F.max(c).alias(f"top_{c}") for c in ("col_ub", "row_ub", "new_col_ub", "new_row_ub", "nan_ub")))
+    bounds, top = bounds.join(F.broadcast(most), F.lit(True)), lambda c: F.col(f"top_{c}")
     rest = {
         TRAINING: w.beta * top("col_ub") + (1 - w.alpha - w.beta) * top("new_row_ub"), FEATURES: w.beta * top("row_ub") + (1 - w.alpha - w.beta) * top("new_col_ub"),
         CLEANING: w.beta * top("col_ub") + w.gamma * top("row_ub") + (1 - w.alpha - w.beta - w.gamma) * top("nan_ub"),
@@ -102,3 +216,18 @@ def merge_state(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame
     a = old.select("table_name", *(F.col(c).alias(f"o_{c}") for c in columns))
     b = new.select("table_name", *(F.col(c).alias(f"n_{c}") for c in columns))
     return a.join(b, "table_name", "full").select("table_name", *(F.coalesce(f"n_{c}", f"o_{c}").alias(c) for c in columns))
+
+
+def save_state(store, mode: int, query: str, scored: DataFrame) -> DataFrame:
+    """Keeps the components of a search in a store, in long form; what an earlier search of the same task and query had for
+    tables that this one did not score stays."""
+    values = ["col_sim", "row_sim", "new_col_rate", "new_row_rate", "nan_delta"]
+    long = scored.select(F.lit(mode).alias("mode"), F.lit(query).alias("query"), "table_name", F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).cast("double").alias("score")) for c in values))).alias("x")).select("mode", "query", "table_name", "x.*")
+    old = store.read("topk_state").join(long.select("mode", "query", "table_name").distinct(), ["mode", "query", "table_name"], "left_anti")
+    return store.replace("topk_state", old.unionByName(long))
+
+
+def split_known(names: DataFrame, state: DataFrame, mode: int, query: str) -> DataFrame:
+    """(table_name, known): whether a kept state has a candidate's components already."""
+    have = state.where((F.col("mode") == mode) & (F.col("query") == query)).select("table_name", F.lit(True).alias("have")).distinct()
+    return names.join(have, "table_name", "left").select("table_name", F.coalesce("have", F.lit(False)).alias("known"))

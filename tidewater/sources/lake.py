@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,19 +18,49 @@ def family(kind: str) -> str:
     return FAMILIES.get(kind, kind)
 
 
+#: Stands before the names of tables that were kept for variables of notebooks.
+PREFIX = "rtable"
+
+
+def canonical(name: str) -> str:
+    return name.removeprefix(PREFIX)
+
+
 class Lake:
-    """Tables by name. They stay lazy; nothing is read before an action."""
+    """Tables and views by name. They stay lazy; nothing is read before an action.
+
+    Every value of the lake, with how often it stands in its column, is made once (``values``); domains, profiles and
+    distributions come from that table.
+    """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], views: dict[str, DataFrame] | None = None):
         self.spark = spark
-        self.tables = {name: df.drop(ARTEFACT) for name, df in tables.items()}
+        self.tables = {canonical(name): df.drop(ARTEFACT) for name, df in tables.items()}
+        self.views = {name: df.drop(ARTEFACT) for name, df in (views or {}).items()}
+        self._values: DataFrame | None = None
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str, names: list[str]) -> Lake:
         return cls(spark, {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names})
 
+    @classmethod
+    def scan(cls, spark: SparkSession, folder: str, names: list[str]) -> tuple[Lake, dict[str, str]]:
+        """The tables that can be read, and why the others can't."""
+        tables, failed = {}, {}
+        for n in names:
+            try:
+                tables[n] = spark.read.parquet(f"{folder}/{n}.parquet")
+            except Exception as e:  # whatever a reader raises, the other tables count
+                failed[n] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
+        return cls(spark, tables), failed
+
     def table(self, name: str) -> DataFrame:
-        return self.tables[name]
+        """A table or view, by its name with or without the prefix."""
+        return self.views[name] if name in self.views else self.tables[canonical(name)]
+
+    def subset(self, names: list[str]) -> Lake:
+        """The named tables; names that the lake does not have are passed over."""
+        return Lake(self.spark, {n: self.tables[canonical(n)] for n in names if canonical(n) in self.tables})
 
     def write(self, name: str, df: DataFrame, path: str) -> None:
         """Replaces a table."""
@@ -38,6 +70,30 @@ class Lake:
     def names(self, containing: str = "") -> list[str]:
         return sorted(n for n in self.tables if containing in n)
 
+    def view_names(self, containing: str = "exp_view_table") -> list[str]:
+        return sorted(n for n in self.views if containing in n)
+
+    def variables(self) -> DataFrame:
+        """table_name, n_rows, n_cols, and the first 200 characters of its three least rows in text form."""
+        parts = []
+        for n, df in sorted(self.tables.items()):
+            row = F.concat_ws(",", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")) for c in df.columns))
+            least = df.select(row.alias("r")).orderBy("r").limit(3).agg(F.left(F.array_join(F.array_sort(F.collect_list("r")), "\n"), F.lit(200)).alias("preview"))
+            rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
+            parts.append(rows.crossJoin(least).select(F.lit(n).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_cols"), "preview"))
+        return _union(parts)
+
+    def values(self) -> DataFrame:
+        """(table_name, column_name, pos, dtype, value, n), staged in the shared folder at first use. Nulls are counted as well."""
+        from tidewater.plans.tables import new_folder
+
+        if self._values is None:
+            counted = self.cells().groupBy("table_name", "column_name", "pos", "dtype", "value").agg(F.count(F.lit(1)).alias("n"))
+            path = new_folder(self.spark, "values")
+            counted.write.parquet(path)
+            self._values = self.spark.read.schema(counted.schema).parquet(path)
+        return self._values
+
     def columns(self) -> DataFrame:
         rows = [(t, c, p, family(kind)) for t, df in sorted(self.tables.items()) for p, (c, kind) in enumerate(df.dtypes)]
         return self.spark.createDataFrame(rows, "table_name string, column_name string, pos int, dtype string")
@@ -61,6 +117,8 @@ class Lake:
 
     def domains(self, kinds: tuple[str, ...] = ("long", "double", "string")) -> DataFrame:
         """Distinct non-null values of every column: one row for each value, however often it stands."""
+        if self._values is not None:
+            return self._values.where(F.col("value").isNotNull() & F.col("dtype").isin(*kinds)).drop("n")
         return self.cells(kinds).where("value is not null").distinct()
 
 
@@ -71,10 +129,31 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def parse_split_json(frame: str, spark: SparkSession) -> DataFrame:
-    """A frame from its JSON in split orientation ({columns, data, index}), as notebooks print it; all cells as strings."""
-    import json
+def to_split_json(df: DataFrame) -> str:
+    """A small table as the JSON text in split orientation that a notebook prints ({columns, index, data}); for variables, not for data."""
+    rows = [list(r) for r in df.collect()]
+    return json.dumps({"columns": df.columns, "index": list(range(len(rows))), "data": rows}, default=str)
+
 
+def parse_split_json(frame: str, spark: SparkSession) -> DataFrame:
+    """A frame from its JSON in split orientation, as notebooks print it. Columns of booleans, integers or numbers keep
+    their type, nulls aside; all others, and mixed ones, are strings."""
     got = json.loads(frame)
-    schema = T.StructType([T.StructField(str(c), T.StringType()) for c in got["columns"]])
-    return spark.createDataFrame([[None if x is None else str(x) for x in r] for r in got["data"]], schema)
+
+    def kind(cells: list) -> T.DataType:
+        types = {type(x) for x in cells if x is not None}
+        if types == {bool}:
+            return T.BooleanType()
+        if types == {int} and all(-(2**63) <= x < 2**63 for x in cells if x is not None):
+            return T.LongType()
+        return T.DoubleType() if types and types <= {int, float} else T.StringType()
+
+    kinds = [kind([r[k] for r in got["data"]]) for k in range(len(got["columns"]))]
+    cast = {T.StringType(): lambda x: x if isinstance(x, str) else json.dumps(x), T.DoubleType(): float}
+    rows = [[None if x is None else cast.get(k, lambda x: x)(x) for x, k in zip(r, kinds, strict=True)] for r in got["data"]]
+    return spark.createDataFrame(rows, T.StructType([T.StructField(str(c), k) for c, k in zip(got["columns"], kinds, strict=True)]))
+
+
+def import_code(name: str) -> str:
+    """The line of code that reads a found table in a notebook."""
+    return f"{canonical(name)} = lake.table({canonical(name)!r})"
