@@ -44,7 +44,8 @@ PIECE = 1 << 20
 RATIO, SPARE = 1100, 64 << 20
 UNREAD = "unread"
 
-_URL = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
+# Regions are found first and looked into afterwards: each character is read once, however long a region is.
+_URL, _TOKEN = re.compile(r"[!-~]+"), re.compile(r"\S+")
 _URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -274,10 +275,11 @@ def _layers(layer: _Layer, allowed: _Allowed) -> Iterator[_Layer | None]:
     text = layer.text
     if "%" in text:
         for m in _URL.finditer(text):
-            yield _unescaped(layer, m, _URL_UNIT, _url_unit)
+            if _URL_UNIT.search(text, m.start(), m.end()):
+                yield _unescaped(layer, m, _URL_UNIT, _url_unit)
     if "\\" in text or "&#" in text:
         for m in _TOKEN.finditer(text):
-            if _UNICODE.search(m[0]):
+            if _UNICODE.search(text, m.start(), m.end()):
                 yield _unescaped(layer, m, _UNICODE, _unicode_unit)
     for m in _BASE64.finditer(text):
         yield from _base64(layer, m, allowed)
@@ -286,9 +288,6 @@ def _layers(layer: _Layer, allowed: _Allowed) -> Iterator[_Layer | None]:
             yield from _base64(layer, m, allowed)
 
 
-_TOKEN = re.compile(r"\S*(?:\\[ux]|&#)\S*")
-
-
 _END = object()
 _ORDER = (*KINDS, UNREAD)
 
