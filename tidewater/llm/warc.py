@@ -2,12 +2,19 @@
 
 Each record is a gzip member of its own whose header carries the member's length (extra field ``sl``), as the WARC
 standard's annex on compression describes, so a reader can step over a record without decoding it. The data source plans
-file partitions on the driver (large files are cut into byte ranges; a record belongs to the range it starts in), takes
-record-type and header equality predicates from Spark, decodes a record's headers first, and inflates its payload only
-if the record passes and payloads are asked for. Archives without ``sl`` fields are read by inflating and discarding.
+file partitions on the driver, takes record-type and header equality predicates from Spark, decodes a record's headers
+first, and inflates its payload only if the record passes and payloads are asked for. Archives without ``sl`` fields are
+read by inflating and discarding.
+
+A reader goes from record to record, from a known start. Bytes inside a payload may look like a record (a page about
+archives, an archive in an archive), so none is ever searched for: the writer lists where records start, one every
+``MARK_BYTES``, beside each archive (``.idx``), and a large archive is cut at such places only. One without a list is
+one partition.
 
 Options: ``path`` (a file, folder or comma-separated list), ``payload`` (true: decode payloads and verify their digests),
-``split`` (bytes of a partition). Fields of the http header block are only looked at for the payload's length and type.
+``split`` (bytes of a partition). Fields of the http header block are only looked at for the media type and the length of
+a revisited payload; a block without a blank line is all header, with an empty payload. A record without a digest gets
+that of its payload where payloads are decoded; predicates on digests are checked again by Spark, so they see it.
 
 Writer: of the rows with equal payloads of at least ``least`` bytes, those with the largest key are responses and others
 revisit it. Payloads meet by digest; the largest key of a digest is a partial aggregate, and the join back can be split
@@ -31,7 +38,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from tidewater.llm.common import filesystem, normal_uri, shared_path, slices
 
-FILE_BYTES = 256 << 20
+FILE_BYTES, MARK_BYTES = 256 << 20, 4 << 20
 SCHEMA = (
     "record_id string, record_type string, target_uri string, warc_date string, content_type string, "
     "payload_bytes long, payload_digest string, refers_to string, payload binary"
@@ -44,6 +51,8 @@ HEADERS = {
 }
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
+#: Suffix of the list of record starts (u64 each, little-endian) beside an archive.
+INDEX = ".idx"
 _FEXTRA = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff"
 
 
@@ -73,7 +82,7 @@ def record(record_id: str, kind: str, uri: str | None, payload: bytes | None, si
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, path: str | None = None, key: str = "page_id", uri: str = "url", html: str = "html", least: int = 0, prefix: str = "urn:page:") -> list[str]:
+def write_warc(pages: DataFrame, path: str | None = None, key: str = "page_id", uri: str = "url", html: str = "html", least: int = 0, prefix: str = "urn:page:", mark: int = MARK_BYTES) -> list[str]:
     """Writes a record for every row; returns the archives. Only files listed are part of the archive, so failed or repeated attempts do no harm."""
     spark = pages.sparkSession
     path = normal_uri(path or shared_path(spark, "warc"))
@@ -89,7 +98,14 @@ def write_warc(pages: DataFrame, path: str | None = None, key: str = "page_id",
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context, fs, out, listed, written = TaskContext.get(), None, None, [], 0
+        context, fs, out, listed, written, marks = TaskContext.get(), None, None, [], 0, [0]
+
+        def close() -> None:
+            out.close()
+            if len(marks) > 1:
+                with fs.open_output_stream(f"{folder}/{name}{INDEX}", compression=None) as f:
+                    f.write(struct.pack(f"<{len(marks)}Q", *marks))
+
         for batch in slices(batches, "h"):
             for k, u, h, n, d, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
@@ -97,17 +113,19 @@ def write_warc(pages: DataFrame, path: str | None = None, key: str = "page_id",
                     fs.create_dir(folder, recursive=True)
                     name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{len(listed):04d}.warc.gz"
                     listed.append(f"{path}/{name}")
-                    out, written = fs.open_output_stream(f"{folder}/{name}", compression=None), 0
+                    out, written, marks = fs.open_output_stream(f"{folder}/{name}", compression=None), 0, [0]
                 number = f"{prefix}{'' if k is None else k}"
                 kind = "response" if head is None else "revisit"
                 packed = member(record(number, kind, u, (h or "").encode("utf-8", "surrogatepass"), n, base64.b32encode(d).decode(), f"{prefix}{head}"))
+                if written - marks[-1] >= mark:
+                    marks.append(written)
                 out.write(packed)
                 written += len(packed)
                 if written > FILE_BYTES:
-                    out.close()
+                    close()
                     out = None
         if out is not None:
-            out.close()
+            close()
         if listed:
             yield pa.RecordBatch.from_pydict({"file": listed})
 
@@ -127,12 +145,14 @@ class _Reader(DataSourceReader):
         self.wanted: dict[str, set] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Takes equality and membership of header fields; Spark keeps the others."""
+        """Takes equality and membership of header fields; Spark keeps the others, and digests, which a header may lack."""
         for f in filters:
             if isinstance(f, EqualTo | In) and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
                 values = {f.value} if isinstance(f, EqualTo) else {*f.value}
                 name = f.attribute[0]
                 self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
+                if name == "payload_digest":
+                    yield f
             else:
                 yield f
 
@@ -148,7 +168,14 @@ class _Reader(DataSourceReader):
             files = [info] if info.type == pafs.FileType.File else sorted((x for x in fs.get_file_info(pafs.FileSelector(place, recursive=True)) if x.is_file and x.base_name.endswith((".warc", ".warc.gz"))), key=lambda x: x.path)
             for x in files:
                 file = path if info.type == pafs.FileType.File else path.rstrip("/") + x.path[len(place.rstrip("/")) :]
-                out += [_Range(file, a, min(a + self.split, x.size)) for a in range(0, max(x.size, 1), self.split)]
+                edges = [0]
+                if x.size > self.split and fs.get_file_info(x.path + INDEX).is_file:
+                    with fs.open_input_stream(x.path + INDEX, compression=None) as f:
+                        raw = f.read()
+                    for (start,) in struct.iter_unpack("<Q", raw):
+                        if start - edges[-1] >= self.split:
+                            edges.append(start)
+                out += [_Range(file, a, b) for a, b in zip(edges, [*edges[1:], x.size], strict=True)]
         return out
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
@@ -195,9 +222,10 @@ class _Stream:
         self.buffer += self.inflate.decompress(raw, 1 << 20) if self.packed else raw
         return True
 
-    def until(self, mark: bytes) -> bytes | None:
-        while (k := self.buffer.find(mark)) < 0:
-            if not self.more():
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """What is before the mark; None if it is not within the next ``most`` bytes, which then stay."""
+        while (k := self.buffer.find(mark, 0, most)) < 0:
+            if most is not None and len(self.buffer) >= most or not self.more():
                 return None
         out, self.buffer = self.buffer[:k], self.buffer[k + len(mark) :]
         return out
@@ -241,8 +269,8 @@ def read_records(file: str, start: int, end: int, wanted: dict[str, set] | None
     wanted = {HEADERS[k].lower(): v for k, v in (wanted or {}).items()}
     with fs.open_input_file(place) as f:
         size = f.size()
-        at = _first(f, start, size) if start else 0
-        while at is not None and at < min(end, size):
+        at = start
+        while at < min(end, size):
             stream = _Stream(f, at, size)
             head = stream.until(b"\r\n\r\n")
             if head is None or not head.startswith(b"WARC/"):
@@ -251,15 +279,16 @@ def read_records(file: str, start: int, end: int, wanted: dict[str, set] | None
             block = int(fields["content-length"])
             sha1 = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
             shown = fields | {k: _bare(fields.get(k)) for k in ("warc-record-id", "warc-refers-to")} | {"warc-payload-digest": sha1}
-            if any(shown.get(k) not in v for k, v in wanted.items()):
+            if any(shown.get(k) not in v for k, v in wanted.items() if k != "warc-payload-digest" or sha1):
                 at = stream.end(block + 4)
                 continue
             kind, length, media, body, used = fields.get("warc-type"), block, fields.get("content-type"), None, 0
             if (media or "").startswith("application/http") and block:
-                http = stream.until(b"\r\n\r\n")
-                own = _fields(http)
-                used = len(http) + 4
-                length, media = int(own.get("content-length", block - used)), own.get("content-type")
+                http = stream.until(b"\r\n\r\n", block)
+                used = block if http is None else len(http) + 4
+                own = _fields(stream.take(block) if http is None else http)
+                told = own.get("content-length", "")
+                length, media = int(told) if kind == "revisit" and told.isdecimal() else block - used, own.get("content-type")
             if payloads and kind != "revisit":
                 body = stream.take(block - used)
                 used = block
@@ -271,38 +300,6 @@ def read_records(file: str, start: int, end: int, wanted: dict[str, set] | None
             at = stream.end(block - used + 4)
 
 
-def _first(f, start: int, size: int) -> int | None:
-    """The first record at or after ``start``: a gzip member or a plain record whose decoded bytes begin as a record."""
-    at, window, ahead = start, 1 << 20, 16
-    while at < size:
-        f.seek(at)
-        raw = f.read(min(window + ahead, size - at))
-        k = 0
-        while True:
-            found = [x for x in (raw.find(b"\x1f\x8b\x08", k), raw.find(b"WARC/1.", k)) if 0 <= x < window]
-            if not found:
-                break
-            k = min(found)
-            if raw[k : k + 5] == b"WARC/":
-                before = raw[k - 4 : k] if k >= 4 else _at(f, at + k - 4, 4)
-                if before == b"\r\n\r\n":
-                    return at + k
-            else:
-                try:
-                    if zlib.decompressobj(31).decompress(_at(f, at + k, 4096), 5) == b"WARC/":
-                        return at + k
-                except zlib.error:
-                    pass
-            k += 1
-        at += window
-    return None
-
-
-def _at(f, place: int, n: int) -> bytes:
-    f.seek(max(place, 0))
-    return f.read(n)
-
-
 class WarcDataSource(DataSource):
     """``spark.read.format("warc")``, after register(spark)."""
 
