@@ -15,18 +15,17 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that one vectorised step works on (one longer document is a step of its own).
 SLICE_BYTES = 2 << 20
-#: Length of the tables of powers that a worker keeps; those for longer texts go after use.
-POWERS_KEPT = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset, one set here."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Unset, it is set to a temporary folder, on one machine only."""
     conf = spark.sparkContext.getConf()
     if found := conf.get("spark.checkpoint.dir"):
         return found.rstrip("/")
     if not (found := spark.sparkContext.getCheckpointDir()):
-        found = tempfile.mkdtemp(prefix="tidewater-")
-        spark.sparkContext.setCheckpointDir(f"file://{found}")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidewater-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -35,14 +34,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def stage(df: DataFrame, name: str, room: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder, or to ``room`` in it, and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = shared_path(spark, name) if room is None else f"{room}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of staged tables that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def private(docs: DataFrame, *more: str) -> str:
+    """A prefix that no column of ``docs`` and none of ``more`` begins with."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in (*docs.columns, *more)):
+        prefix += "_"
+    return prefix
+
+
 def least_hashed(rows: DataFrame, key: Column, n: int, known: DataFrame) -> DataFrame:
     """``rows`` with a hash ``h`` of their key below a bound that some ``n`` of the rows of ``known`` stay under, and a quarter more.
 
@@ -100,34 +113,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_ODD = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_SYMBOL = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
+#: Bytes of a word whose random numbers are looked up; those of later bytes are made when they are met.
+_NEAR = 48
+#: Words hashed in one step.
+_HASHED = 1 << 16
 
 
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    if which in _POWERS and len(_POWERS[which][0]) >= n:
-        p, q = _POWERS[which]
-        return p[:n], q[:n]
-    size, base = max(n, 1 << 16), _ODD[which]
-    both = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(size, b, U64)
-        p[0] = 1
-        both.append(np.multiply.accumulate(p))
-    if size <= POWERS_KEPT:
-        _POWERS[which] = (both[0], both[1])
-    p, q = both
-    return p[:n], q[:n]
+def _symbols(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random 64-bit number for each byte at each place of a word."""
+    return mix(mix(place.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(1)) ^ (byte.astype(U64) + U64(1)) * U64(0xD1342543DE82EF95))
 
 
-def _range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of values[start:end], equal for equal runs wherever they stand."""
-    power, inverse = _powers(len(values) + 1, which)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * power[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
+_TABLE = _symbols(np.tile(np.arange(256), _NEAR), np.repeat(np.arange(_NEAR), 256))
 
 
 def class_table(outside: str | bytes) -> np.ndarray:
@@ -145,6 +142,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_NORMAL = bytes(int(LOWER[b]) if PLAIN[LOWER[b]] else 32 for b in range(256))
+
+
+def normalise(text: bytes) -> bytes:
+    """The words of a UTF-8 text, lower-cased, each between single spaces; empty if there are none."""
+    words = text.translate(_NORMAL).split(b" ")
+    joined = b" ".join(filter(None, words))
+    return b" " + joined + b" " if joined else b""
+
+
 def word_bounds(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row offsets) of the words of each row: byte positions, and the first word of each row."""
     inside = table[data]
@@ -158,7 +165,23 @@ def word_bounds(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return _range_hash(_SYMBOL[data], start, end)
+    """64 bits of each word: the sum of a random number for each of its bytes at its place, mixed with its length.
+
+    Words differ in a number for at least one place, so unlike sums of powers no two of them agree by their structure.
+    """
+    out = np.zeros(len(start), U64)
+    for a in range(0, len(start), _HASHED):
+        own = slice(a, a + _HASHED)
+        size = end[own] - start[own]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        byte = data[place + np.repeat(start[own], size)]
+        number = _TABLE[np.minimum(place, _NEAR - 1) << 8 | byte]
+        if size.max() > _NEAR:
+            far = np.flatnonzero(place >= _NEAR)
+            number[far] = _symbols(byte[far], place[far])
+        out[own] = mix(np.add.reduceat(number, first) + size.astype(U64))
+    return out
 
 
 def window_starts(first: np.ndarray, width: int) -> np.ndarray:
@@ -168,10 +191,38 @@ def window_starts(first: np.ndarray, width: int) -> np.ndarray:
     return np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def window_hashes(words: np.ndarray, start: np.ndarray, width: int | np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of words[s:s + width]; ``which`` chooses one of two independent ones."""
-    own = words if not which else mix(words ^ U64(0x5851F42D4C957F2D))
-    return _range_hash(own, start, start + width, which)
+def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of two hashes in their order."""
+    own = b ^ (b >> U64(29))
+    own *= U64(0xD6E8FEB86659FD93)
+    own += a * U64(0x9E3779B97F4A7C15)
+    own += U64(salt)
+    return mix(own)
+
+
+def window_table(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """Hashes of words[s:s + width] for every s from 0 to len(words) - width; ``which`` chooses one of two families.
+
+    Hashes of 1, 2, 4, ... words are made from two of half the size; those that add up to the width are joined.
+    """
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    level, size, done, joined = mix(words ^ U64((0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)[which])), 1, 0, None
+    while True:
+        if width & size:
+            own = level[done : done + n]
+            joined = own if joined is None else _pair(joined, own, 2 * size + 1)
+            done += size
+        if 2 * size > width:
+            return joined
+        level = _pair(level[:-size], level[size:], 2 * size)
+        size *= 2
+
+
+def window_hashes(words: np.ndarray, start: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """Hashes of words[s:s + width] for each s of ``start``."""
+    return window_table(words, width, which)[start] if len(start) else np.zeros(0, U64)
 
 
 def rows_of(position: np.ndarray, first: np.ndarray) -> np.ndarray:

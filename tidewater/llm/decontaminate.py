@@ -6,7 +6,8 @@ found are mapped back to word numbers and to code points of the original text. D
 shuffled, so hot sources and copies do not matter.
 
 The items are a stated query set: the driver reads them as a stream and cuts their windows into blocks of at most
-``BLOCK_BYTES`` of pattern text, each broadcast and scanned in turn, so that an automaton stays bounded.
+``BLOCK_BYTES`` of pattern text, each broadcast and scanned in turn, so that an automaton stays bounded; the driver
+holds two blocks at a time.
 
 Defined results: null or empty texts have no words and are clean; null item texts have no windows; a null item_id is left
 out of the list of items but its windows hit; repeated items count once by id; an empty item table leaves all clean.
@@ -15,6 +16,7 @@ out of the list of items but its windows hit; repeated items count once by id; a
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import LOWER, PLAIN, slices, utf8, word_bounds
+from tidewater.llm.common import LOWER, PLAIN, normalise, private, remove, shared_path, slices, stage, utf8, word_bounds
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
-_NORMAL = bytes(int(LOWER[b]) if PLAIN[LOWER[b]] else 32 for b in range(256))
+BLOCK_BYTES = 16 << 20
 ADDED = [
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
     T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
@@ -35,13 +36,6 @@ ADDED = [
 ]
 
 
-def normalise(text: bytes) -> bytes:
-    """The words of a UTF-8 text, lower-cased, each between single spaces; empty if there are none."""
-    words = text.translate(_NORMAL).split(b" ")
-    joined = b" ".join(filter(None, words))
-    return b" " + joined + b" " if joined else b""
-
-
 def item_windows(text: str | None, width: int = WINDOW) -> list[bytes]:
     words = normalise((text or "").encode("utf-8", "surrogatepass")).split()
     if not words:
@@ -65,10 +59,10 @@ def pattern_blocks(items: DataFrame, item_id: str, text: str, width: int, most:
         yield {k: tuple(v) for k, v in block.items()}
 
 
-_BUILT: dict[int, object] = {}
+_BUILT: dict[str, object] = {}
 
 
-def _automaton(number: int, patterns: dict[bytes, tuple]):
+def _automaton(number: str, patterns: dict[bytes, tuple]):
     """Built once for each worker and block; one is kept at a time."""
     import ahocorasick
 
@@ -82,62 +76,99 @@ def _automaton(number: int, patterns: dict[bytes, tuple]):
     return _BUILT[number]
 
 
-def scan(normal: bytes, automaton) -> tuple[np.ndarray, set]:
-    """Hit words, as a mask, and the ids of items with occurring windows."""
-    found = [(end, *value) for end, value in automaton.iter(normal.decode("latin-1"))]
+def scan(normal: bytes, automaton) -> tuple[list[int], set]:
+    """Runs of hit words (first, last + 1, first, ...), each inside a window, and the ids of items with occurring windows."""
+    found = [(end, *value) for end, value in automaton.iter(normal.decode("latin-1"))] if normal else []
+    if not found:
+        return [], set()
     spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
+    end, size = np.array([x[0] for x in found]), np.array([x[1] for x in found])
     change = np.zeros(len(spaces), np.int64)  # one more than words
-    items: set = set()
-    if found:
-        end = np.array([x[0] for x in found])
-        size = np.array([x[1] for x in found])
-        np.add.at(change, np.searchsorted(spaces, end - size + 1), 1)
-        np.add.at(change, np.searchsorted(spaces, end), -1)
-        items.update(*(x[2] for x in found))
-    return np.cumsum(change)[:-1] > 0, items
+    np.add.at(change, np.searchsorted(spaces, end - size + 1), 1)
+    np.add.at(change, np.searchsorted(spaces, end), -1)
+    return _runs(np.cumsum(change)[:-1] > 0), set().union(*(x[2] for x in found))
+
+
+def _runs(mask: np.ndarray) -> list[int]:
+    return np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist()
+
+
+def _merged(runs: list[int]) -> list[int]:
+    """Runs of several blocks as one list."""
+    out: list[int] = []
+    for a, b in sorted(zip(runs[::2], runs[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds n_words, n_hit, n_items, items_sha256, contaminated and hits (runs of hit words, as code points) to each row."""
+    """Adds n_words, n_hit, n_items, items_sha256, contaminated and hits (runs of hit words, as code points) to each row.
+
+    One block of windows is one pass of its own. If there are more, the passes are staged one after the other, each with
+    its own broadcast that goes afterwards, so a worker builds each automaton once and holds one.
+    """
     spark = docs.sparkSession
     docs = docs.drop(*(f.name for f in ADDED))
-    schema = T.StructType([*docs.schema.fields, *ADDED])
-    at = docs.columns.index(text)
-    blocks = [spark.sparkContext.broadcast((id(docs) * 1000 + k, b)) for k, b in enumerate(pattern_blocks(items, item_id, item_text, width, block_bytes))]
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            data, offsets = utf8(batch.column(at))
-            whole = data.tobytes()
-            normal = [normalise(whole[offsets[k] : offsets[k + 1]]) for k in range(batch.num_rows)]
-            hit: list[np.ndarray | None] = [None] * len(normal)
-            ids: list[set] = [set() for _ in normal]
-            for block in blocks:
-                automaton = _automaton(*block.value)
-                for k, one in enumerate(normal):
-                    if one and next(automaton.iter(one.decode("latin-1")), None):
-                        mask, found = scan(one, automaton)
-                        hit[k] = mask if hit[k] is None else hit[k] | mask
-                        ids[k] |= found
-            spans = [[] if mask is None else _spans(whole[offsets[k] : offsets[k + 1]], mask) for k, mask in enumerate(hit)]
-            n_hit = [0 if mask is None else int(mask.sum()) for mask in hit]
-            names = [sorted(str(x) for x in found if x is not None) for found in ids]
-            extra = [
-                pa.array([max(0, x.count(b" ") - 1) for x in normal], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(spans, kind),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *(f.name for f in ADDED)])
-
-    return docs.mapInArrow(run, schema)
-
-
-def _spans(raw: bytes, mask: np.ndarray) -> list[dict]:
+    at, kinds = docs.columns.index(text), docs.schema.fields
+    p = private(docs, *(f.name for f in ADDED))
+    carried = [T.StructField(f"{p}runs", T.ArrayType(T.LongType())), T.StructField(f"{p}ids", T.ArrayType(T.StringType()))]
+    ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def found(batch: pa.RecordBatch, block, number: str) -> tuple[bytes, np.ndarray, list[bytes], list[list[int]], list[set]]:
+        """The texts, and of each its runs of hit words and the items of this block and, where carried, of earlier ones."""
+        data, offsets = utf8(batch.column(at))
+        whole = data.tobytes()
+        normal = [normalise(whole[offsets[k] : offsets[k + 1]]) for k in range(batch.num_rows)]
+        both = [scan(one, _automaton(number, block.value)) for one in normal] if block is not None else [([], set()) for _ in normal]
+        runs, ids = [x[0] for x in both], [{str(i) for i in x[1] if i is not None} for x in both]
+        if batch.num_columns > len(kinds):
+            for k, (r, i) in enumerate(zip(batch.column(len(kinds)).to_pylist(), batch.column(len(kinds) + 1).to_pylist(), strict=True)):
+                if r:
+                    runs[k], ids[k] = _merged(runs[k] + r), ids[k].union(i)
+        return whole, offsets, normal, runs, ids
+
+    def step(block, number: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text):
+                *_, runs, ids = found(batch, block, number)
+                extra = [pa.array(runs, pa.list_(pa.int64())), pa.array([sorted(x) for x in ids], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kinds)], *extra], names=[*batch.schema.names[: len(kinds)], *(f.name for f in carried)])
+
+        return run
+
+    def last(block, number: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text):
+                whole, offsets, normal, runs, ids = found(batch, block, number)
+                n_hit, names = [sum(r[1::2]) - sum(r[::2]) for r in runs], [sorted(x) for x in ids]
+                spans = [_spans(whole[offsets[k] : offsets[k + 1]], r) if r else [] for k, r in enumerate(runs)]
+                extra = [
+                    pa.array([max(0, x.count(b" ") - 1) for x in normal], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(spans, ranges),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kinds)], *extra], names=[*batch.schema.names[: len(kinds)], *(f.name for f in ADDED)])
+
+        return run
+
+    share = lambda b: None if b is None else spark.sparkContext.broadcast(b)
+    blocks = pattern_blocks(items, item_id, item_text, width, block_bytes)
+    block, room = next(blocks, None), None
+    while (following := next(blocks, None)) is not None:
+        sent, before, after = share(block), room, shared_path(spark, "scanned")
+        docs = stage(docs.mapInArrow(step(sent, uuid.uuid4().hex), T.StructType([*kinds, *carried])), "block", after)
+        sent.destroy()
+        if before:
+            remove(spark, before)
+        block, room = following, after
+    return docs.mapInArrow(last(share(block), uuid.uuid4().hex), T.StructType([*kinds, *ADDED]))
+
+
+def _spans(raw: bytes, runs: list[int]) -> list[dict]:
     """Runs of hit words as code point ranges of the original text."""
     data = np.frombuffer(raw, np.uint8)
     start, end, _ = word_bounds(LOWER[data], np.array([0, len(data)]), PLAIN)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-    return [{"start": int(points[start[a]]), "end": int(points[end[b - 1]])} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-
-
+    return [{"start": int(points[start[a]]), "end": int(points[end[b - 1]])} for a, b in zip(runs[::2], runs[1::2], strict=True)]

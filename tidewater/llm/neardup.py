@@ -16,7 +16,7 @@ Groups of any size stay cheap, without pairs within a group:
 1. Texts of equal normalised words are one node from the start (partial aggregation by digest).
 2. Star rounds: within a bucket every member is compared with one leader only, another one each round; buckets whose
    members already share a class are dropped.
-3. The rest, members of unresolved buckets outside the leader's class, meets all other members in blocks of bounded
+3. The rest, members of unresolved buckets outside the leader's class, meets all other members in tasks of bounded
    size, where full signatures decide which pairs are worth an exact comparison, until nothing more can be joined. No
    partner or candidate is capped.
 
@@ -38,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import LOWER, PLAIN, U64, mix, rows_of, shared_path, slices, stage, utf8, window_hashes, window_starts, word_bounds, word_hashes
+from tidewater.llm.common import LOWER, PLAIN, U64, mix, normalise, remove, rows_of, shared_path, slices, stage, utf8, window_hashes, window_starts, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 6
 REGISTERS = BANDS * ROWS
 STAR_ROUNDS = 2
-#: Members of a bucket that meet in one task of the last step.
-BLOCK = 1024
+#: Members of a bucket that meet as many others in one task of the last step.
+BLOCK = 256
 #: Bytes of text whose shingles are in memory at once.
 SLICE = 512 << 10
 #: Pairs of one leader that meet one copy of it.
@@ -64,9 +64,12 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = word_hashes(data, start, end)
     n = np.diff(first)
     position = window_starts(first, SHINGLE)
-    row, h = rows_of(position, first), window_hashes(words, position, SHINGLE)
-    for k in np.flatnonzero((n > 0) & (n < SHINGLE)):
-        row, h = np.append(row, k), np.append(h, window_hashes(words, first[k : k + 1], int(n[k])))
+    rows, hashes = [rows_of(position, first)], [window_hashes(words, position, SHINGLE)]
+    for size in range(1, SHINGLE):
+        short = np.flatnonzero(n == size)
+        rows.append(short)
+        hashes.append(mix(window_hashes(words, first[short], size) + U64(size)))
+    row, h = np.concatenate(rows), np.concatenate(hashes)
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
@@ -133,15 +136,14 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _digests(texts: pa.Array) -> list[bytes | None]:
     """128 bits of each text's normalised words, or of its bytes if it has no word; None if it is empty."""
     data, at = utf8(texts)
-    start, end, first = word_bounds(LOWER[data], at, PLAIN)
-    words = word_hashes(LOWER[data], start, end) if len(start) else np.zeros(0, U64)
-    low, high = (window_hashes(words, first[:-1], np.diff(first), which) for which in (0, 1))
+    whole = data.tobytes()
     out: list[bytes | None] = []
-    for k, (x, y) in enumerate(zip(low, high, strict=True)):
-        if first[k + 1] > first[k]:
-            out.append(x.tobytes() + y.tobytes())
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        words = normalise(whole[a:b])
+        if words:
+            out.append(hashlib.blake2b(words, digest_size=16).digest())
         else:
-            out.append(hashlib.blake2b(data[at[k] : at[k + 1]].tobytes(), digest_size=15).digest() if at[k + 1] > at[k] else None)
+            out.append(hashlib.blake2b(whole[a:b], digest_size=15).digest() if b > a else None)
     return out
 
 
@@ -163,7 +165,7 @@ def _sign(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, digest binary, keys array<long>")
 
 
-def _contents(texts: DataFrame, ids: DataFrame) -> DataFrame:
+def _contents(texts: DataFrame, ids: DataFrame, name: str, room: str) -> DataFrame:
     """(id, h, n, sig, plain) of the texts whose id is in ``ids``: shingle hashes, their counts (empty if all are 1),
     registers, and registers with all weights 1 (empty if all counts are).
 
@@ -184,9 +186,9 @@ def _contents(texts: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(plain, pa.binary())], names=["id", "h", "n", "sig", "plain"])
 
     spark = texts.sparkSession
-    name, n = f"shingles_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = texts.join(ids, "id", "left_semi").select("id", "t").mapInArrow(run, "id long, h binary, n binary, sig binary, plain binary")
-    made.repartition(n, "id").write.bucketBy(n, "id").option("path", shared_path(spark, "shingles")).saveAsTable(name)
+    made.repartition(n, "id").write.bucketBy(n, "id").option("path", f"{room}/shingles").saveAsTable(name)
     return spark.table(name)
 
 
@@ -195,7 +197,7 @@ def _unpacked(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.frombuffer(n, "<u4") if n else np.ones(len(hashes), np.uint32)
 
 
-def _verified(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, content: DataFrame, threshold: float, room: str) -> DataFrame:
     """The (a, b) of ``pairs`` whose exact similarity reaches the threshold, staged.
 
     A leader ``b`` may be in most pairs, so it is dealt in a copy for each ``SHARE`` of its pairs.
@@ -214,7 +216,7 @@ def _verified(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFra
             kept = [similarity(unpack(x), unpack(y)) >= threshold - 1e-9 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links", room)
 
 
 def _relabel(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
@@ -226,37 +228,37 @@ def _relabel(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
     return df.withColumn("_j", F.col(column).bitwiseXOR(F.lit(1))).join(mapped, F.col("_j") == F.col("_k"), "left").withColumn(column, F.coalesce("_to", column)).drop("_j", "_k", "_to")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, room: str | None = None) -> DataFrame:
     """(id, root) of ids in ``links`` (a, b) that are not roots: root is the smallest id of the connected component.
 
     Every vertex hooks to its smallest neighbour, chains of hooks are halved until they end at roots, and the edges
     between roots go on: at most as many rounds as the logarithm of the number of vertices.
     """
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges", room)
     roots = None
     while not edges.isEmpty():
-        hooks = stage(edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id"), "hooks")
+        hooks = stage(edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id"), "hooks", room)
         while True:
-            hooks = stage(_relabel(hooks.select("id", "root", F.col("root").alias("before")), "root", hooks), "hooks")
+            hooks = stage(_relabel(hooks.select("id", "root", F.col("root").alias("before")), "root", hooks), "hooks", room)
             if hooks.where("root != before").isEmpty():
                 break
         hooks = hooks.select("id", "root")
-        roots = hooks if roots is None else stage(_relabel(roots, "root", hooks).unionByName(hooks), "roots")
+        roots = hooks if roots is None else stage(_relabel(roots, "root", hooks).unionByName(hooks), "roots", room)
         for c in ("u", "v"):
             edges = _relabel(edges, c, hooks)
-        edges = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+        edges = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges", room)
     return roots if roots is not None else edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def _classes(texts: DataFrame, keys: DataFrame, ties: DataFrame, threshold: float, star_rounds: int) -> DataFrame:
+def _classes(texts: DataFrame, keys: DataFrame, ties: DataFrame, threshold: float, star_rounds: int, name: str, room: str) -> DataFrame:
     """(id, root) for texts (id, t) with band keys (id, keys) and links known beforehand (a, b)."""
     turned = F.col("key").bitwiseXOR(F.lit(1))
     members = keys.select("id", F.explode("keys").alias("key")).distinct()
     many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(turned.alias("key1"))
-    members = stage(members.withColumn("key1", turned).join(many, "key1", "left_semi").select("id", "key"), "members")
-    content = _contents(texts, members.select("id").distinct())
+    members = stage(members.withColumn("key1", turned).join(many, "key1", "left_semi").select("id", "key"), "members", room)
+    content = _contents(texts, members.select("id").distinct(), name, room)
     links, tested = ties, None
-    roots = None if ties.isEmpty() else components(ties)
+    roots = None if ties.isEmpty() else components(ties, room)
     for turn in range(star_rounds + 1):
         held = members.withColumn("root", F.col("id"))
         if roots is not None:
@@ -266,56 +268,72 @@ def _classes(texts: DataFrame, keys: DataFrame, ties: DataFrame, threshold: floa
         buckets = buckets.where("low != high").select(turned.alias("key1"), F.col("l.id").alias("leader"), F.col("l.root").alias("leading"), "n")
         unresolved = held.withColumn("key1", turned).drop("key").join(buckets, "key1")
         if turn == star_rounds:
-            found = stage(_rest(stage(unresolved, "unresolved"), content, threshold), "links")
+            found = stage(_rest(stage(unresolved, "unresolved", room), content, threshold, room), "links", room)
         else:
             pairs = unresolved.where("root != leading").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = stage(pairs, "pairs")
+            pairs = stage(pairs, "pairs", room)
             tested = pairs if tested is None else tested.unionByName(pairs)
-            found = _verified(pairs, content, threshold)
+            found = _verified(pairs, content, threshold, room)
         if not found.isEmpty():
             links = links.unionByName(found)
-            roots = components(links)
+            roots = components(links, room)
     return roots if roots is not None else ties.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def _rest(unresolved: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
+def _rest(unresolved: DataFrame, content: DataFrame, threshold: float, room: str | None = None) -> DataFrame:
     """Links between members of unresolved buckets that are in different classes, enough to connect what is connected.
 
-    Members outside the leader's class go to every block of their bucket, the others to one; a task holds a block.
-    Signatures first tell which members have a partner worth an exact comparison; only their shingles move, and the
-    comparisons stay inside the block, which returns links that join two classes, fewer than it has members.
+    The members of a bucket are dealt in blocks, and those outside the leader's class in rows; a task holds the members
+    of one block and one row, at most about 2 x BLOCK of them, however large the bucket. Signatures first tell which
+    members have a partner worth an exact comparison; only their shingles move, and the comparisons stay inside the
+    task, which returns links that join two classes, fewer than it has members.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = unresolved.withColumn("block", F.explode(F.when(F.col("root") != F.col("leading"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
-    dealt = dealt.select("key1", "block", "id", "root", (F.col("root") != F.col("leading")).alias("rest"))
+    others = F.col("root") != F.col("leading")
+    rests = unresolved.where(others & (F.col("n") > BLOCK)).groupBy("key1").agg(F.count(F.lit(1)).alias("n_rest")).select(F.col("key1").alias("key2"), "n_rest")
+    unresolved = unresolved.join(rests, F.col("key1").bitwiseXOR(F.lit(1)) == F.col("key2").bitwiseXOR(F.lit(1)), "left")
+    blocks, lines = (F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(0)) / BLOCK)).cast("int") for c in (F.col("n"), F.col("n_rest")))
+    block, line = (F.pmod(F.xxhash64("id", F.lit(k)), n).cast("int") for k, n in enumerate((blocks, lines)))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    # a member stands in its block for every line, and, outside the leader's class, in its line for every block
+    places = F.transform(every(lines), lambda x: F.struct(block.alias("block"), x.alias("line"), (others & (x == line)).alias("rest")))
+    more = F.transform(every(blocks), lambda x: F.struct(x.alias("block"), line.alias("line"), F.lit(True).alias("rest")))
+    more = F.filter(more, lambda x: x["block"] != block)
+    dealt = unresolved.select("key1", "id", "root", F.explode(F.when(others, F.concat(places, more)).otherwise(places)).alias("x")).select("key1", "x.block", "x.line", "id", "root", "x.rest")
     signed = dealt.join(content.select("id", "sig", "plain"), "id")
 
-    def both(pdf) -> list[np.ndarray]:
-        """Weighted registers and those with all weights 1; only the former if they are the same in all rows."""
+    def both(pdf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weighted registers, the rows that repeat a shingle, and all rows' registers with all weights 1 (the same in others)."""
         sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
-        if not any(len(p) for p in pdf["plain"]):
-            return [sig]
-        return [sig, np.stack([np.frombuffer(p, np.uint32) if len(p) else s for p, s in zip(pdf["plain"], sig, strict=True)])]
-
-    def near(sigs: list[np.ndarray], root: np.ndarray, i: int) -> np.ndarray:
-        """The larger agreement with member i of those in other classes, 0 where it is too small."""
-        same = np.max([(sig == sig[i]).mean(1) for sig in sigs], 0)
-        return np.where((root != root[i]) & (same >= ESTIMATE), same, 0)
+        again = np.flatnonzero([len(p) > 0 for p in pdf["plain"]])
+        plain = sig if not len(again) else sig.copy()
+        for k in again:
+            plain[k] = np.frombuffer(pdf["plain"].iloc[k], np.uint32)
+        return sig, again, plain
+
+    def near(sigs: tuple[np.ndarray, np.ndarray, np.ndarray], root: np.ndarray, i: int) -> np.ndarray:
+        """Which members of other classes agree with member i in either sense as far as a link may."""
+        sig, again, plain = sigs
+        other = np.flatnonzero(root != root[i])
+        same = np.zeros(len(root))
+        same[other] = (sig[other] == sig[i]).mean(1)
+        if len(again):
+            k = other if i in again else np.intersect1d(again, other, assume_unique=True)
+            same[k] = np.maximum(same[k], (plain[k] == plain[i]).mean(1))
+        return same >= ESTIMATE
 
     def worth(pdf):
         sigs = both(pdf)
         root, some = pdf["root"].to_numpy(), np.zeros(len(pdf), bool)
         for i in np.flatnonzero(pdf["rest"].to_numpy()):
-            found = near(sigs, root, i) > 0
+            found = near(sigs, root, i)
             some |= found
             some[i] |= found.any()
         return pdf[some]
 
-    kept = signed.groupBy("key1", "block").applyInPandas(worth, "key1 long, block int, id long, root long, rest boolean, sig binary, plain binary")
-    full = stage(kept, "worth").join(content.select("id", "h", "n"), "id")
+    kept = signed.groupBy("key1", "block", "line").applyInPandas(worth, "key1 long, block int, line int, id long, root long, rest boolean, sig binary, plain binary")
+    full = stage(kept, "worth", room).join(content.select("id", "h", "n"), "id")
 
     def meet(pdf):
         import pandas as pd
@@ -323,32 +341,51 @@ def _rest(unresolved: DataFrame, content: DataFrame, threshold: float) -> DataFr
         sigs = both(pdf)
         ids, root = pdf["id"].to_numpy(), pdf["root"].to_numpy().copy()
         sets = [_unpacked(h, n) for h, n in zip(pdf["h"], pdf["n"], strict=True)]
-        out = []
+        size = np.array([len(h) for h, _ in sets])
+        start, repeats = np.cumsum(size) - size, np.array([len(n) > 0 for n in pdf["n"]])
+        # shingles by number: those shared with one member are counted for all others at once
+        _, number = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+        mark, out = np.zeros(len(number), bool), []
         for i in np.flatnonzero(pdf["rest"].to_numpy()):
-            same = near(sigs, root, i)
-            for j in np.argsort(-same, kind="stable")[: np.count_nonzero(same)]:
-                if root[i] != root[j] and similarity(sets[i], sets[j]) >= threshold - 1e-9:
+            some = np.flatnonzero(near(sigs, root, i))
+            if not len(some):
+                continue
+            own = number[start[i] : start[i] + size[i]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[number], start)[some]
+            mark[own] = False
+            plain = shared / (size[some] + size[i] - shared)
+            for k in np.argsort(-plain, kind="stable"):
+                j = some[k]
+                if root[i] != root[j] and (plain[k] >= threshold - 1e-9 or shared[k] and (repeats[i] or repeats[j]) and similarity(sets[i], sets[j]) >= threshold - 1e-9):
                     out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
                     root[root == root[j]] = root[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return full.groupBy("key1", "block").applyInPandas(meet, "a long, b long").distinct()
+    return full.groupBy("key1", "block", "line").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(doc_id, class_id) for every row of ``docs``; class_id is the smallest doc_id of its class."""
+    spark = docs.sparkSession
+    name = f"shingles_{uuid.uuid4().hex}"
+    room = shared_path(spark, "near")
     known = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    signed = stage(_sign(known.where("id is not null")), "signed")
+    signed = stage(_sign(known.where("id is not null")), "signed", room)
     # one node for each distinct text: the smallest doc_id that has it
-    heads = stage(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("node")), "heads")
+    heads = stage(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("node")), "heads", room)
     again = F.concat(F.col("digest"), F.lit(b"\x01")).alias("d1")
-    placed = stage(signed.select("id", again).join(heads.select(again, "node"), "d1", "left").select("id", F.coalesce("node", "id").alias("node")), "placed")
+    placed = stage(signed.select("id", again).join(heads.select(again, "node"), "d1", "left").select("id", F.coalesce("node", "id").alias("node")), "placed", room)
     # a doc_id with several texts ties their nodes together
     several = placed.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    ties = stage(placed.join(several, "id").select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")).where("a != b").distinct(), "ties")
+    ties = stage(placed.join(several, "id").select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")).where("a != b").distinct(), "ties", room)
     ids = heads.select(F.col("node").alias("id")).distinct()
     texts = known.join(ids, "id", "left_semi")
-    roots = _classes(texts, signed.where("keys is not null").join(ids, "id", "left_semi"), ties, threshold, star_rounds)
-    classes = _relabel(placed, "node", roots).select(F.col("id").alias(doc_id), F.col("node").alias("class_id"))
+    try:
+        roots = _classes(texts, signed.where("keys is not null").join(ids, "id", "left_semi"), ties, threshold, star_rounds, name, room)
+        classes = stage(_relabel(placed, "node", roots).select(F.col("id").alias(doc_id), F.col("node").alias("class_id")), "classes")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, room)
     lost = known.where("id is null").select(F.col("id").alias(doc_id), F.lit(None).cast("long").alias("class_id"))
     return classes.unionByName(lost)

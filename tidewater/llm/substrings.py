@@ -8,7 +8,8 @@ shift, an equal anchor of 35 - 21 + 1 = 15 words that starts at a cover position
 1. Texts are staged in the shared folder as chunks (rows of some megabytes, or one longer document), never shuffled.
 2. Anchors are hashed at cover positions only. Each chunk reports a hash once, with its count, so a passage common to
    a third of all rows meets as one row for each chunk; the places of repeated hashes are written back by chunk.
-3. Extension: windows around a repeated anchor are hashed whole (96 bits), counted and written back in the same way.
+3. Extension: windows around a repeated anchor are hashed whole, counted and written back in the same way. 64 bits of
+   one family of hashes and 32 of another tell them apart; both start from 64 bits of each word.
 4. Each chunk removes the words that repeated windows cover.
 
 Nothing is paired, collected or capped; hashes move, texts do not: a task reads the lists of its own chunks.
@@ -20,7 +21,6 @@ twice loses all words within windows; documents shorter than a window are kept w
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +29,11 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import types as T
 
-from tidewater.llm.common import SPACED, U64, filesystem, normal_uri, rows_of, shared_path, utf8, window_hashes, window_starts, word_bounds, word_hashes
+from tidewater.llm.common import SPACED, U64, filesystem, normal_uri, rows_of, shared_path, utf8, window_hashes, window_starts, window_table, word_bounds, word_hashes
 
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 WIDTH = 35
 CHUNK_BYTES = 4 << 20
-#: Words hashed in one step.
-HASHED = 1 << 17
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -45,24 +43,21 @@ class _Words:
     def __init__(self, texts: pa.Array):
         self.data, self.at = utf8(texts)
         self.start, self.end, self.first = word_bounds(self.data, self.at, SPACED)
-        self.hashes = np.zeros(len(self.start), U64)
-        for a, b in itertools.pairwise([*range(0, len(self.start), HASHED), len(self.start)]):
-            low, high = self.start[a], self.end[b - 1]
-            self.hashes[a:b] = word_hashes(self.data[low:high], self.start[a:b] - low, self.end[a:b] - low)
+        self.hashes = word_hashes(self.data, self.start, self.end)
 
     def anchors(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(position, hash) of the anchors at cover positions, counted from each document's start."""
         position = window_starts(self.first, width - PERIOD + 1)
         own = position - self.first[rows_of(position, self.first)]
         position = position[_ON_COVER[own % PERIOD]]
-        return position, window_hashes(self.hashes, position, width - PERIOD + 1)
+        return position, window_table(self.hashes, width - PERIOD + 1)[position]
 
     def candidates(self, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows with a repeated anchor, as one at ``places``, at one of their first PERIOD positions: (position, two hashes)."""
         position, found = self.anchors(width)
-        repeated = window_hashes(self.hashes, places, width - PERIOD + 1)
         change = np.zeros(len(self.hashes) + 1, np.int64)
-        hot = position[np.isin(found, repeated)]
+        # places are those of anchors, in order of position
+        hot = position[np.isin(found, found[np.searchsorted(position, places)])]
         np.add.at(change, np.maximum(hot - PERIOD + 1, 0), 1)
         np.add.at(change, hot + 1, -1)
         near = np.cumsum(change)[:-1] > 0
@@ -99,7 +94,9 @@ def _repeated(reports: DataFrame, keys: list[str], path: str) -> None:
     through a sort that spills, and no list of a key's places is built.
     """
     hot = reports.withColumn("total", F.sum("n").over(Window.partitionBy(*keys))).where("total > 1")
-    hot.groupBy("chunk").agg(F.collect_list("p").alias("found")).withColumn("part", F.shiftright("chunk", 32)).write.partitionBy("part").parquet(path)
+    # dealt by part, so that each part has one file, however many tasks there are
+    hot = hot.select("chunk", "p", F.shiftright("chunk", 32).alias("part")).repartition("part")
+    hot.groupBy("part", "chunk").agg(F.collect_list("p").alias("found")).write.partitionBy("part").parquet(path)
 
 
 class _Found:
@@ -184,8 +181,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
                 drop = np.zeros(len(words.start), bool)
                 if (hot := found(number)) is not None:
                     start = window_starts(words.first, width)
-                    own, known = (window_hashes(words.hashes, x, width) for x in (start, hot))
-                    start = start[np.isin(own, known)]
+                    table = window_table(words.hashes, width)
+                    start = start[np.isin(table[start], table[hot])]
                     change = np.zeros(len(drop) + 1, np.int64)
                     np.add.at(change, start, 1)
                     np.add.at(change, start + width, -1)
