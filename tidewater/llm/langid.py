@@ -1,13 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 The model is a matrix of log probabilities, languages x 2**16 buckets, learned from a bounded sample of labelled rows
-and broadcast (its size is languages x 256 KB; more than ``MAX_LANGUAGES`` labels are an error). Scoring is a map over
-whole texts without a shuffle: the n-grams of a slice are hashed at once, counted sparsely by document and bucket, and
-multiplied with the matrix.
+and broadcast (256 KB a language). Scoring is a map over whole texts without a shuffle: the n-grams of a batch of texts
+are hashed at once, counted sparsely by text and bucket, and multiplied with the matrix.
 
-Defined results: a null, empty or letterless text is ``und`` with score 0. Rows are scored one by one, so repeated rows
-and ties get equal answers (equal scores go to the language first in sorted order). Other columns pass through
-untouched. With no labelled row at all every text is ``und``.
+Defined results: a null text, or one without a letter (Unicode category L), is ``und`` with score 0. Rows are scored one
+by one, so repeated rows and ties get equal answers (equal scores go to the language first in sorted order); texts of
+more than a million characters are read in pieces that end before a space. Other columns pass through untouched. With no
+labelled row at all every text is ``und``.
 """
 
 from __future__ import annotations
@@ -26,9 +26,12 @@ from tidewater.llm.common import U64, least_hashed, mix, slices
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Labelled documents and characters of each that the model may be fitted on.
-FIT_ROWS, FIT_CHARS = 20_000, 4_000
-MAX_LANGUAGES = 400
+#: Labelled documents that the model may be fitted on.
+FIT_ROWS = 20_000
+#: Characters of a long text that one step works on, and of texts that are scored at once.
+PIECE, BATCH_BYTES = 1 << 20, 512 << 10
+#: N-grams whose evidence a probability rests on at most.
+EVIDENCE = 60
 UNDETERMINED = "und"
 
 
@@ -36,13 +39,16 @@ UNDETERMINED = "und"
 class Model:
     languages: tuple[str, ...]
     prior: np.ndarray  # languages
-    weight: np.ndarray  # buckets x languages, float32
+    weight: np.ndarray  # languages x buckets, float32
 
 
 def _letters(text: str) -> np.ndarray:
-    """Lower-cased code points, each run of other characters as one space."""
+    """Lower-cased letters with the marks that follow them, each run of other characters as one space; a mark alone is no letter."""
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    kept = _is_letter(points)
+    kind = _kinds(points)
+    # a mark counts if the last character that is no mark is a letter
+    last = np.maximum.accumulate(np.where(kind != 3, np.arange(len(kind)), 0))
+    kept = kind[last] == 2
     kept_or_first = kept.copy()
     kept_or_first[1:] |= kept[:-1]
     kept_or_first[0] = True
@@ -52,82 +58,129 @@ def _letters(text: str) -> np.ndarray:
 _KNOWN = np.zeros(0x110000, np.int8)
 
 
-def _is_letter(points: np.ndarray) -> np.ndarray:
-    """Unicode letters and marks; classes of code points are looked up once."""
+def _kinds(points: np.ndarray) -> np.ndarray:
+    """2 for Unicode letters, 3 for marks, 1 for others; classes of code points are looked up once."""
     got = _KNOWN[points]
     if not got.all():
         for p in np.unique(points[got == 0]):
-            _KNOWN[p] = 1 + (unicodedata.category(chr(p))[0] in "LM")
+            _KNOWN[p] = {"L": 2, "M": 3}.get(unicodedata.category(chr(p))[0], 1)
         got = _KNOWN[points]
-    return got == 2
+    return got
 
 
-def _buckets(points: np.ndarray) -> np.ndarray:
-    """Bucket of every n-gram of every order."""
-    p, out = points.astype(U64), []
+def _buckets(points: np.ndarray, row: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every n-gram of every order that lies in one row."""
+    p, rows, out = points.astype(U64), [], []
+    row = np.zeros(len(p), np.int64) if row is None else row
     for n in ORDERS:
         if len(p) >= n:
             h = np.full(len(p) - n + 1, n, U64)
             for k in range(n):
                 h = h * U64(0x100000001B3) + p[k : len(p) - n + 1 + k]
-            out.append((mix(h) >> U64(48)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """Fits on the ``rows`` labelled rows of smallest key hash at most, and their first ``chars`` characters.
-
-    Both are documented bounds of the training sample; scoring reads whole texts. Rows are counted into (label, bucket)
-    sums on the executors, so the driver receives at most languages x buckets numbers.
+            inside = row[: len(h)] == row[n - 1 :]
+            rows.append(row[: len(h)][inside])
+            out.append((mix(h[inside]) >> U64(48)).astype(np.int64))
+    return (np.concatenate(rows), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _pieces(text: str) -> list[str]:
+    """Long texts in pieces that end before a space, so that one step works on a bounded text."""
+    out, at = [], 0
+    while len(text) - at > PIECE:
+        end = text.rfind(" ", at + 1, at + PIECE)
+        end = end if end > 0 else at + PIECE
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, count) of the n-grams of a batch of texts, sorted, and which texts have a letter."""
+    points = [_letters(t) for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(p) for p in points])
+    whole = np.concatenate(points) if points else np.zeros(0, np.uint32)
+    lettered = np.bincount(row, weights=whole != 32, minlength=len(texts)) > 0
+    row, bucket = _buckets(whole, row)
+    key = np.sort((row.astype(U64) << U64(16)) | bucket.astype(U64))
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(edge, len(key)))
+    return (key[edge] >> U64(16)).astype(np.int64), (key[edge] & U64(0xFFFF)).astype(np.int64), count, lettered
+
+
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> Model:
+    """Fits on the whole texts of about ``rows`` labelled rows at most, those of smallest key hash.
+
+    The number of rows is a documented bound of the training sample; a key with more than a hundredth of it is left out
+    unless there is no other, and then bounded. Only hashes of keys come to the driver to find the sample; its texts stay
+    where they are, and (label, bucket) sums, languages x buckets numbers at most, come back.
     """
     known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    known = known.select(F.col(label).alias("label"), F.substring(F.col(text), 1, chars).alias("text"), F.col(key).cast("string").alias("key"))
-    sample = least_hashed(known, F.col("key"), rows, labelled.where(F.col(label).isNotNull()).select(label))
-    sample = sample.orderBy("h", "label", "text").limit(rows)
+    known = known.select(F.col(label).alias("label"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
+    keys = least_hashed(known.select("key"), F.col("key"), rows, labelled.where(F.col(label).isNotNull()).select(label))
+    taken, hot, bound = 0, [], None
+    for r in keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).orderBy("h").limit(rows).collect():
+        if taken >= rows:
+            break
+        if r["n"] > max(1, rows // 100):
+            hot.append(r["h"])
+        else:
+            taken, bound = taken + r["n"], r["h"]
+    h = F.xxhash64("key")
+    if bound is not None:
+        sample = known.where((h <= bound) & ~h.isin(*hot)) if hot else known.where(h <= bound)
+    else:
+        sample = known.where(h.isin(*hot)).limit(rows) if hot else known.limit(0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        n: dict[str, int] = {}
-        for batch in batches:
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                b = _buckets(_letters(value))
-                if name not in sums:
-                    sums[name], n[name] = np.zeros(BUCKETS, np.int64), 0
-                sums[name] += np.bincount(b, minlength=BUCKETS)
-                n[name] += 1
-        for name, total in sums.items():
-            yield pa.RecordBatch.from_pydict({"label": [name], "n": [n[name]], "sums": [total.tobytes()]})
-
-    got: dict[str, tuple[int, np.ndarray]] = {}
-    for r in sample.select("label", "text").repartition(8).mapInArrow(count, "label string, n long, sums binary").toLocalIterator():
-        n, total = got.get(r["label"], (0, np.zeros(BUCKETS, np.int64)))
-        got[r["label"]] = n + r["n"], total + np.frombuffer(r["sums"], np.int64)
-        if len(got) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages: the matrix would outgrow its bound")
+        for batch in slices(batches, "text"):
+            labels = batch.column(0).to_pylist()
+            names = sorted({*labels})
+            place = {x: k for k, x in enumerate(names)}
+            sums, n = np.zeros((len(names), BUCKETS + 1), np.int64), np.zeros(len(names), np.int64)
+            for name, value in zip(labels, batch.column(1).to_pylist(), strict=True):
+                sums[place[name], BUCKETS] += 1
+                for piece in _pieces(value):
+                    sums[place[name], :BUCKETS] += np.bincount(_buckets(_letters(piece))[1], minlength=BUCKETS)
+            at, bucket = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], pa.string()), pa.array(bucket), pa.array(sums[at, bucket])], names=["label", "bucket", "n"])
+
+    counted = sample.select("label", "text").mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    got: dict[str, np.ndarray] = {}
+    for r in counted.toLocalIterator():
+        if r["label"] not in got:
+            got[r["label"]] = np.zeros(BUCKETS + 1, np.int64)
+        got[r["label"]][r["bucket"]] = r["n"]
     names = tuple(sorted(got))
     if not names:
-        return Model((), np.zeros(0, np.float32), np.zeros((BUCKETS, 0), np.float32))
-    sums = np.array([got[x][1] for x in names], np.float64)
+        return Model((), np.zeros(0), np.zeros((0, BUCKETS), np.float32))
+    both = np.array([got[x] for x in names], np.float64)
+    sums, n = both[:, :BUCKETS], both[:, BUCKETS]
     used = max(1, int((sums.sum(0) > 0).sum()))
-    prior = np.log(np.array([got[x][0] + 1 for x in names], np.float64) / (sum(x[0] for x in got.values()) + len(names)))
     weight = np.log((sums + 0.5) / (sums.sum(1, keepdims=True) + 0.5 * used))
-    return Model(names, prior.astype(np.float32), np.ascontiguousarray(weight.T.astype(np.float32)))
+    return Model(names, np.log((n + 1) / (n.sum() + len(names))), weight.astype(np.float32))
 
 
 def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Most probable language of each text and its posterior, tempered by text length so that it stays informative."""
-    names, scores = [], np.zeros(len(texts))
-    for i, value in enumerate(texts):
-        points = _letters(value) if value else np.zeros(0, np.uint32)
-        if not model.languages or not (points != 32).any():
-            names.append(UNDETERMINED)
-            continue
-        bucket, n = np.unique(_buckets(points), return_counts=True)
-        log = model.prior + n.astype(np.float32) @ model.weight[bucket]
-        best = int(np.argmax(log))
-        names.append(model.languages[best])
-        scores[i] = 1.0 / float(np.exp(np.clip(log - log[best], -60, 0)).sum())
-    return names, scores
+    """Most probable language of each text of a batch and its probability.
+
+    The n-grams of all texts are counted at once, and the sparse counts meet one row of the matrix after the other. The
+    log likelihood is scaled down to that of ``EVIDENCE`` n-grams in longer texts, so that the probability of a text that
+    fits no language much better than the others stays low.
+    """
+    pieces = [_pieces(t) if t else [] for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(p) for p in pieces])
+    row, bucket, count, lettered = _counts([p for own in pieces for p in own])
+    row, some = owner[row], np.bincount(owner, weights=lettered, minlength=len(texts)) > 0
+    names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    if not model.languages or not some.any():
+        return names, scores
+    size = np.maximum(np.bincount(row, weights=count, minlength=len(texts)), 1)
+    likely = np.stack([np.bincount(row, weights=count * w[bucket], minlength=len(texts)) for w in model.weight], 1)
+    whole, tempered = model.prior + likely, model.prior + likely * np.minimum(1, EVIDENCE / size)[:, None]
+    best = whole.argmax(1)
+    ahead = tempered - tempered[np.arange(len(texts)), best][:, None]
+    scores = np.where(some, 1.0 / np.exp(np.clip(ahead, -700, 700)).sum(1), 0.0)
+    return [model.languages[k] if x else UNDETERMINED for k, x in zip(best, some, strict=True)], scores
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str = "lang_pred", probability: str = "score") -> DataFrame:
@@ -139,7 +192,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, BATCH_BYTES):
             names, scores = score(shared.value, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, prediction, probability])
 
