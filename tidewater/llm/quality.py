@@ -6,6 +6,9 @@ the other third, and kept while its precision there holds; the rows it covers le
 uses plain Python on the driver over at most ``FIT_ROWS`` labelled rows of smallest key hash, a documented bound;
 statistics and verdicts cover all rows.
 
+Repeated windows are told by 64 bits of hash (xxhash64). The sample holds one row for each labelled key and label, so
+repeated doc_ids don't enlarge it.
+
 Defined results: a null or empty text has no words, so it fails the base rule and is not kept; repeated rows get equal
 results; without usable labels the list is empty and only the base rule decides; extra columns pass through.
 """
@@ -18,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import private
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 FIT_ROWS = 20_000
@@ -30,27 +35,28 @@ MORE = ["n_upper", "n_letters", "n_exclaim", "n_digits", "n_chars_all", "n_ends"
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the BASE and MORE counts (long) to every row."""
+    p = private(docs)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    removed = lambda chars: (F.length("_t") - F.length(F.translate("_t", chars, ""))).cast("long")
-    docs = docs.drop(*BASE, *MORE).withColumn("_t", t).withColumn("_b", F.btrim("_t", F.lit(SPACES)))
-    docs = docs.withColumn("_w", F.when(F.col("_b") == "", F.array().cast("array<string>")).otherwise(F.split("_b", r"[ \t-\r]+")))
+    removed = lambda chars: (F.length(f"{p}t") - F.length(F.translate(f"{p}t", chars, ""))).cast("long")
+    docs = docs.drop(*BASE, *MORE).withColumn(f"{p}t", t).withColumn(f"{p}b", F.btrim(f"{p}t", F.lit(SPACES)))
+    docs = docs.withColumn(f"{p}w", F.when(F.col(f"{p}b") == "", F.array().cast("array<string>")).otherwise(F.split(f"{p}b", r"[ \t-\r]+")))
     # lambdas refer to their own arguments only: if Spark moves an expression, it is not evaluated again for each element
-    three = F.arrays_zip(*(F.slice("_w", F.lit(k), F.greatest(F.size("_w") - 2, F.lit(0))).alias(f"w{k}") for k in (1, 2, 3)))
-    docs = docs.withColumn("_z", three).withColumn("_h", F.transform("_z", lambda x: F.xxhash64(x["w1"], x["w2"], x["w3"])))
-    docs = docs.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.translate(x, SPACES, "") != ""))
+    three = F.arrays_zip(*(F.slice(f"{p}w", F.lit(k), F.greatest(F.size(f"{p}w") - 2, F.lit(0))).alias(f"w{k}") for k in (1, 2, 3)))
+    docs = docs.withColumn(f"{p}z", three).withColumn(f"{p}h", F.transform(f"{p}z", lambda x: F.xxhash64(x["w1"], x["w2"], x["w3"])))
+    docs = docs.withColumn(f"{p}l", F.filter(F.split(f"{p}t", "\n"), lambda x: F.translate(x, SPACES, "") != ""))
     # places of windows that are found twice or more; only texts with such a window sort theirs
-    pairs = F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    docs = docs.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), pairs))
-    rest = F.size("_s") - 1
-    beside = F.arrays_zip(F.col("_s").alias("own"), F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice("_s", F.lit(1), rest)).alias("before"), F.slice("_s", F.lit(2), rest).alias("after"))
+    pairs = F.sort_array(F.transform(f"{p}h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    docs = docs.withColumn(f"{p}s", F.when(F.size(F.array_distinct(f"{p}h")) < F.size(f"{p}h"), pairs))
+    rest = F.size(f"{p}s") - 1
+    beside = F.arrays_zip(F.col(f"{p}s").alias("own"), F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(f"{p}s", F.lit(1), rest)).alias("before"), F.slice(f"{p}s", F.lit(2), rest).alias("after"))
     twice = F.filter(beside, lambda x: F.coalesce(x["own"]["h"] == x["before"]["h"], F.lit(False)) | F.coalesce(x["own"]["h"] == x["after"]["h"], F.lit(False)))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["own"]["i"], x["own"]["i"] + 1, x["own"]["i"] + 2)))))
     columns = {
-        "n_words": F.size("_w"), "word_chars": F.length(F.translate("_t", SPACES, "")), "n_symbols": removed(SYMBOLS), "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
-        "n_repeat_words": F.when(F.col("_s").isNull(), 0).otherwise(covered), "n_upper": F.length("_t") - F.length(F.regexp_replace("_t", r"\p{Lu}", "")),
-        "n_letters": F.length("_t") - F.length(F.regexp_replace("_t", r"\p{L}+", "")), "n_exclaim": removed("!?"), "n_digits": removed("0123456789"), "n_chars_all": F.length("_t"), "n_ends": removed(".,;:"),
+        "n_words": F.size(f"{p}w"), "word_chars": F.length(F.translate(f"{p}t", SPACES, "")), "n_symbols": removed(SYMBOLS), "n_dup_lines": F.size(f"{p}l") - F.size(F.array_distinct(f"{p}l")),
+        "n_repeat_words": F.when(F.col(f"{p}s").isNull(), 0).otherwise(covered), "n_upper": F.length(f"{p}t") - F.length(F.regexp_replace(f"{p}t", r"\p{Lu}", "")),
+        "n_letters": F.length(f"{p}t") - F.length(F.regexp_replace(f"{p}t", r"\p{L}+", "")), "n_exclaim": removed("!?"), "n_digits": removed("0123456789"), "n_chars_all": F.length(f"{p}t"), "n_ends": removed(".,;:"),
     }
-    return docs.withColumns({k: v.cast("long") for k, v in columns.items()}).drop("_t", "_b", "_w", "_z", "_h", "_l", "_s")
+    return docs.withColumns({k: v.cast("long") for k, v in columns.items()}).drop(*(f"{p}{x}" for x in "tbwzhls"))
 
 
 def base_failed() -> Column:
@@ -150,11 +156,12 @@ def learn(rows: list[tuple[dict, bool]]) -> list[Rule]:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS) -> list[Rule]:
     """Learns from labelled rows (0: bad) that pass the base rule. The sample is bounded, so it is broadcast to the texts."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), (F.col(label) == 0).alias("_bad"))
-    sample = known.orderBy(F.xxhash64("_key"), "_key", "_bad").limit(rows)
+    sample = known.distinct().orderBy(F.xxhash64("_key"), "_key", "_bad").limit(rows)
     found = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(sample), "_key")
     columns = features()
-    measured = statistics(found).select("_key", "_bad", base_failed().alias("_failed"), *(c.alias(k) for k, c in columns.items()))
-    measured = measured.orderBy(F.xxhash64("_key"), "_key", "_bad", *columns).limit(2 * rows).collect()
+    measured = statistics(found).select("_key", "_bad", F.struct(base_failed().alias("_failed"), *(c.alias(k) for k, c in columns.items())).alias("_row"))
+    measured = measured.groupBy("_key", "_bad").agg(F.min("_row").alias("_row")).select(F.xxhash64("_key").alias("_h"), "_key", "_bad", "_row.*").collect()
+    measured.sort(key=lambda r: (r["_h"], str(r["_key"]), r["_bad"]))
     return learn([({k: r[k] for k in columns}, r["_bad"]) for r in measured if not r["_failed"]])
 
 
