@@ -94,6 +94,7 @@ def test_token_coder_beats_zlib_and_the_static_entropy(sf):
 
 
 def test_a_damaged_block_costs_no_other(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BLOCK", 1 << 19)
     rng = np.random.default_rng(5)
     own = [rng.integers(0, 3000, n).astype("<u4").tobytes() for n in (0, 300_000, 1, 700_000, 40, 600_000, 5, 0)]
     with open(tmp_path / "x.twid", "wb") as f:

@@ -119,12 +119,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end, part = encoder(tokenizer).ids, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        encode, end, part = encoder(tokenizer).many, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in slices(batches, "t"):
             out: list[list] = [[] for _ in range(8)]
-            for number, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(value) + end
+            for number, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     own = ids[4 * start : 4 * (start + capacity)]

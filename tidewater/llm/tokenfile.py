@@ -34,15 +34,17 @@ from tidewater.llm.common import U64, filesystem, normal_uri, shared_path, slice
 from tidewater.llm.tokenizing import encoder
 
 MAGIC = b"TWID2"
-STEPS, LANES = 256, 2048
+STEPS, LANES = 256, 8192
 BLOCK = STEPS * LANES
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 8 << 20
 #: Ids after which a new file begins.
 FILE_IDS = 1 << 26
 _HEAD = struct.Struct("<IIIII")
 _TAIL = struct.Struct("<II5s")
 _SLOT_BITS, _SURE = 18, 8
 _MIX_BITS, _LEAST = 15, 2048  # weights add up to 2**15, of which order 0 has 2,048 at least
-_ID_BITS = 22  # shares of ids within order 0 add up to 2**22; a block has 2**19 distinct ids at most
+_ID_BITS = 22  # shares of ids within order 0 add up to 2**22; a block has 2**21 distinct ids at most
 _STEP, _MOST = 4, 1 << 16
 _SHORT = U64(1 << 40)  # the range is kept above: both sums of shares fit
 _CAPACITY = 4 * STEPS + 8  # units of a lane at most
@@ -355,26 +357,23 @@ class Reader:
 
     def documents(self, keep_damaged: bool = False) -> Iterator[tuple[int, list[bytes | None]]]:
         """(first document, ids of it and the next ones) as blocks complete them; None for one that a damaged block holds a part of."""
-        ends, done, first, held, broken = np.cumsum(self.sizes), 0, 0, b"", False
-        for k in range(len(self.blocks)):
+        ends, done, first, held = np.cumsum(self.sizes), 0, 0, b""
+        lost: list[tuple[int, int]] = []  # ids of damaged blocks that documents to come may hold
+        for k, (_, size) in enumerate(self.blocks):
             try:
                 held += self.block(k).tobytes()
             except ValueError:
                 if not keep_damaged:
                     raise
-                held, broken = held + bytes(4 * self.blocks[k][1]), True
-            start = done - (len(held) // 4 - self.blocks[k][1])
-            bad = done if broken else None
-            done += self.blocks[k][1]
-            last = int(np.searchsorted(ends, done, "right"))
-            out, at = [], start
-            for d in range(first, last):
-                own = held[4 * (at - start) : 4 * (int(ends[d]) - start)]
-                out.append(None if bad is not None and int(ends[d]) > bad else own)
-                at = int(ends[d])
-            held = held[4 * (at - start) :]
-            # what is left over of a damaged block spoils the document that goes on
-            broken = broken and bool(held)
+                held += bytes(4 * size)
+                lost.append((done, done + size))
+            done += size
+            at = start = done - len(held) // 4
+            last, out = int(np.searchsorted(ends, done, "right")), []
+            for end in ends[first:last].tolist():
+                out.append(None if any(x < end and at < y for x, y in lost) else held[4 * (at - start) : 4 * (end - start)])
+                at = end
+            held, lost = held[4 * (at - start) :], [(x, y) for x, y in lost if y > at]
             yield first, out
             first = last
         if first < len(self.sizes) and not self.sizes[first:].any():
@@ -397,7 +396,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end, context = encoder(tokenizer).ids, end_id.to_bytes(4, "little"), TaskContext.get()
+        encode, end, context = encoder(tokenizer).column, end_id.to_bytes(4, "little"), TaskContext.get()
         fs, folder = filesystem(path)
         name, file, writer, number = "", None, None, 0
 
@@ -406,14 +405,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
             file.close()
             return pa.RecordBatch.from_pydict({"part": [context.partitionId()], "number": [number], "file": [f"{path}/{name}"], "documents": [len(writer.doc_ids)], "ids": [writer.ids]})
 
-        for batch in slices(batches, "t"):
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in slices(batches, "t", SLICE_BYTES):
+            for d, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 if writer is None:
                     fs.create_dir(folder, recursive=True)
                     name = f"part-{context.partitionId():06d}-{number:06d}-{context.taskAttemptId()}.twid"
                     file = fs.open_output_stream(f"{folder}/{name}")
                     writer = Writer(file, end_id)
-                writer.add(d, encode(t) + end)
+                writer.add(d, ids + end)
                 if writer.ids >= FILE_IDS:
                     yield closed()
                     writer, number = None, number + 1

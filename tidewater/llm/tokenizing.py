@@ -9,14 +9,19 @@ can't be cut safely, is encoded whole by the library.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks that a worker keeps, and the longest that it keeps.
 KEPT, KEPT_CHARS = 500_000, 64
+#: Ids of kept chunks after which a worker forgets them.
+KEPT_IDS = 8 << 20
 #: Fixed value: the split of byte-level BPE that the library's ByteLevel pre-tokenizer applies.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _END = "</w>"
@@ -30,7 +35,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """ids(text): the ids of a whole text as little-endian unsigned 32-bit integers."""
+    """ids(text), many(texts): the ids of whole texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,6 +47,9 @@ class Encoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.known: dict[str, bytes] = {}
+        # for columns: the row of each chunk, and the number and first place in the pool of the ids of each row
+        self.rows: dict[str, int] = {}
+        self.size, self.first, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         before, model = spec.get("pre_tokenizer") or {}, spec["model"]
         plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not spec.get("post_processor")
         byte_level = plain and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer") and not model.get("end_of_word_suffix")
@@ -71,7 +79,7 @@ class Encoder:
         if self.mode == "dropped":
             import regex
 
-            self.words = regex.compile(split["pattern"]["Regex"])
+            self.words = regex.compile(split["pattern"]["Regex"] + r"|\n")
 
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -82,63 +90,109 @@ class Encoder:
     def _spaced(self, text: str) -> bytes:
         return self._library(text) if self._is_special(text) else np.array(self.core.encode_ordinary(text), "<u4").tobytes()
 
-    def _prepared(self, chunk: str) -> str | None:
-        """The text whose core encoding gives the chunk's ids; None if the library must encode it."""
-        if self._is_special(chunk):
-            return None
-        if self.mode == "spaced":
-            return f" {chunk}"
-        if max(chunk, default="a") >= "ɐ" or "\x00" in chunk:
-            return None
-        chunk = unicodedata.normalize("NFC", chunk).lower()
-        if chunk.isalpha():
-            return f"{chunk}\x00"
-        return "".join(f"{w}\x00" for w in self.words.findall(chunk))
-
-    def _solve(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of each chunk; all that the core can take are encoded in one call and cut by their bytes."""
-        before = " " if self.mode == "spaced" else ""
-        solved, easy, texts = {}, [], []
-        for chunk in chunks:
-            if (text := self._prepared(chunk)) is None:
-                solved[chunk] = self._library(before + chunk)
-            else:
-                easy.append(chunk)
-                texts.append(text)
-        ids = np.array(self.core.encode_ordinary("".join(texts)), "<u4")
-        end = np.cumsum([len(x.encode("utf-8")) for x in texts])
-        cut = [0, *np.searchsorted(np.cumsum(self.sizes[ids]), end, "right").tolist()]
-        raw = ids.tobytes()
-        for k, chunk in enumerate(easy):
-            solved[chunk] = raw[4 * cut[k] : 4 * cut[k + 1]]
-        return solved
+    def _texts(self, chunks: list[str]) -> list[str]:
+        """The texts whose core encodings give the ids of chunks that hold no special string and no character from ɐ on.
 
-    def ids(self, text: str | None) -> bytes:
+        Chunks are without white space, so all go through each step at once, a line each.
+        """
+        if self.mode == "spaced":
+            return [f" {c}" for c in chunks]
+        lines = unicodedata.normalize("NFC", "\n".join(chunks)).lower().split("\n")
+        plain = [x.isalpha() for x in lines]
+        words = self.words.findall("\n".join([x for x, p in zip(lines, plain, strict=True) if not p]))
+        cut = iter("\x00".join([*words, ""]).split("\n\x00"))
+        return [f"{x}\x00" if p else next(cut) for x, p in zip(lines, plain, strict=True)]
+
+    def _solve(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(the chunks in another order, how many ids each has, all their ids). What the core can take is encoded in one call."""
+        before, hard, whole = " " if self.mode == "spaced" else "", [], "\n".join(chunks)
+        if self._is_special(whole) or self.mode == "dropped" and _BEYOND.search(whole):
+            easy = []
+            for chunk in chunks:
+                (hard if self._is_special(chunk) or self.mode == "dropped" and _BEYOND.search(chunk) else easy).append(chunk)
+            chunks = easy
+        size, ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
+        if chunks:
+            texts = self._texts(chunks)
+            # the offsets of an Arrow array are the ends of the texts in bytes
+            end = np.frombuffer(pa.array(texts, pa.large_string()).buffers()[1], np.int64)[1 : len(texts) + 1]
+            ids = np.array(self.core.encode_ordinary("".join(texts)), "<u4")
+            size = np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), end, "right"), prepend=0)
+        if hard:
+            own = [np.frombuffer(self._library(before + chunk), "<u4") for chunk in hard]
+            size, ids = np.concatenate([size, [*map(len, own)]]).astype(np.int64), np.concatenate([ids, *own])
+        return [*chunks, *hard], size, ids
+
+    def _cut(self, text: str | None) -> tuple[bytes, list[str]]:
+        """Ids of the beginning of a text, and the chunks that follow."""
         if not text:
-            return b""
-        if self.mode == "whole":
-            return self._library(text)
+            return b"", []
+        if self.mode == "whole" or self.mode == "dropped" and self._is_special(text):
+            return self._library(text), []
         if self.mode == "spaced":
             if len(text.split()) - 1 != text.count(" ") + text.count("\n"):  # white space is not all single spaces and line ends
-                return self._spaced(text)
+                return self._spaced(text), []
             head, *rest = text.split(" ")
-            return self._spaced(head) + self._look_up(rest)
-        return self._look_up(_ASCII_SPACE.split(text)) if not self._is_special(text) else self._library(text)
-
-    def _look_up(self, chunks: list[str]) -> bytes:
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
+            return self._spaced(head), rest
+        # str.split knows more kinds of white space, which belong to chunks
+        return b"", _ASCII_SPACE.split(text) if _OTHER_SPACE.search(text) else text.split()
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each of a batch of texts; chunks that are not known yet are solved together."""
+        known, parts = self.known, [self._cut(t) for t in texts]
         if len(known) > KEPT:
             known.clear()
-        solved = self._solve([*{*chunks}.difference(known)])
-        known.update((c, v) for c, v in solved.items() if len(c) <= KEPT_CHARS)
-        return b"".join([known[c] if c in known else solved[c] for c in chunks])
+        solved, size, ids = self._solve([*set().union(*(x[1] for x in parts)).difference(known)])
+        raw, edge = ids.tobytes(), [0, *(4 * np.cumsum(size)).tolist()]
+        known.update((c, raw[a:b]) for c, a, b in zip(solved, edge, edge[1:], strict=False))
+        out = [head + b"".join(map(known.__getitem__, chunks)) for head, chunks in parts]
+        for chunk in solved:
+            if len(chunk) > KEPT_CHARS:
+                del known[chunk]
+        return out
+
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a column. Where white space is dropped, words are told apart column-wise, so that only
+        the distinct ones are looked at in Python."""
+        if self.mode != "dropped":
+            return self.many(texts.to_pylist())
+        texts = pc.fill_null(texts, "")
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if special.any():
+            whole = [self._library(t) if x else None for t, x in zip(texts.to_pylist(), special, strict=True)]
+            texts = pc.if_else(pa.array(special), "", texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        # words hold no line end, so one string of them is cut faster than an array is read
+        listed, which = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(listed)], listed), "\n")[0].as_py().split("\n") if len(listed) else []
+        rows = self.rows
+        if len(rows) > KEPT or len(self.pool) > KEPT_IDS:
+            rows.clear()
+            self.size, self.pool = self.size[:0], self.pool[:0]
+        if new := [w for w in words if w not in rows]:
+            solved, size, ids = self._solve(new)
+            rows.update(zip(solved, range(len(self.size), len(self.size) + len(size)), strict=True))
+            self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
+            self.first = np.cumsum(self.size) - self.size
+        own = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))[which]
+        size_of = self.size[own]
+        end = np.cumsum(size_of)
+        place = np.arange(int(size_of.sum())) + np.repeat(self.first[own] - (end - size_of), size_of)
+        raw = self.pool[place].tobytes()
+        edge = 4 * np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        out = [raw[a:b] for a, b in itertools.pairwise(edge.tolist())]
+        return [w if x else o for w, x, o in zip(whole, special, out, strict=True)] if special.any() else out
+
+    def ids(self, text: str | None) -> bytes:
+        return self.many([text])[0]
 
 
 _ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BEYOND = re.compile("[\x00ɐ-\U0010ffff]")
 _ENCODERS: dict[str, Encoder] = {}
 
 
