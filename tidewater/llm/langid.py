@@ -164,8 +164,8 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
     """Most probable language of each text of a batch and its probability.
 
     The n-grams of all texts are counted at once, and the sparse counts meet one row of the matrix after the other. The
-    log likelihood is scaled down to that of ``EVIDENCE`` n-grams in longer texts, so that the probability of a text that
-    fits no language much better than the others stays low.
+    log likelihood is scaled down to that of ``EVIDENCE`` n-grams in longer texts, so that probabilities do not depend on the
+    length of a text beyond that. They compare the learned languages only: text of another one may well score near 1.
     """
     pieces = [_pieces(t) if t else [] for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(p) for p in pieces])
