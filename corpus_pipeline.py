@@ -1,8 +1,9 @@
 """A training-corpus pipeline: language ID, near-duplicate removal, benchmark decontamination, secret redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with the columns of documents; the last one
-returns the packed pieces. Stages see all that their predecessor kept. Null or letterless texts go in the first stage; a
-row without doc_id is never a near duplicate; an empty table stays empty through all stages.
+returns the packed pieces. Stages see all that their predecessor kept. Operators get the text and the other columns as
+one struct, so columns of documents that are named as an operator's results stay as they are. An empty table stays empty
+through all stages.
 """
 
 from __future__ import annotations
@@ -14,40 +15,49 @@ from tidewater.llm import decontaminate, langid, neardup, packing, secrets
 from tidewater.llm.common import stage as staged
 from tidewater.llm.queries import END_OF_PIECE, table, tokenizer
 
-#: A language must be more probable than this; below it a text is close to chance for four languages.
-LEAST_SCORE = 0.3
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """(row, text): all other columns as one struct."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
+
+
+def _whole(found: DataFrame, columns: list[str]) -> DataFrame:
+    return found.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts whose language can't be told."""
-    found = langid.identify(docs, langid.fit(docs), prediction="_language", probability="_score")
-    return found.where((F.col("_language") != langid.UNDETERMINED) & (F.col("_score") > LEAST_SCORE)).drop("_language", "_score")
+    """Rejects texts whose language can't be told: null and letterless ones, and all if no row has a language to learn from."""
+    found = langid.identify(_apart(docs), langid.fit(docs))
+    return _whole(found.where(F.col("lang_pred") != langid.UNDETERMINED), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: that of the smallest doc_id."""
+    """One document of each class stays: that of the smallest doc_id, and of repeated doc_ids one row. Rows without doc_id all stay."""
     classes = neardup.near_duplicates(docs)
-    stay = staged(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "stay")
-    kept = docs.join(stay.where("_n = 1").select("doc_id"), "doc_id", "left_semi")
-    if not (again := stay.where("_n > 1")).isEmpty():  # repeated doc_ids
+    stay = staged(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "stay")
+    kept = docs.join(stay.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    if not (again := stay.where("n > 1")).isEmpty():  # repeated doc_ids
         kept = kept.unionByName(docs.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(docs.columns)
+    """Drops documents that hold a window of a benchmark item; null and empty texts are clean."""
+    found = decontaminate.decontaminate(_apart(docs), table(spark, sf_dir, "benchmark"))
+    return _whole(found.where("not contaminated"), docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts."""
-    done = secrets.redact(secrets.scan_secrets(docs))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(docs.columns)
+    """Replaces secrets in the texts, and n_chars of texts that changed; null and empty texts stay."""
+    done = secrets.redact(secrets.scan_secrets(_apart(docs)))
+    if "n_chars" not in docs.columns:
+        return _whole(done, docs.columns)
+    length = F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars"))
+    return done.select(*(F.col("text") if c == "text" else length.alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in sequences; a null text is one end id."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"), END_OF_PIECE)
 
 
