@@ -30,6 +30,13 @@ def column_profiles(cells: DataFrame) -> DataFrame:
     return p.withColumn("key_score", F.coalesce(F.try_divide("n_distinct", "n_rows"), F.lit(0.0)))
 
 
+def value_profiles(values: DataFrame) -> DataFrame:
+    """The same as column_profiles, from a lake's counted values."""
+    held = F.col("value").isNotNull()
+    p = values.groupBy(*KEY).agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(held, F.col("n"))), F.lit(0)).alias("n_values"), F.count("value").alias("n_distinct"))
+    return p.withColumn("key_score", F.coalesce(F.try_divide("n_distinct", "n_rows"), F.lit(0.0)))
+
+
 def semantic_types(cells: DataFrame, first_names: tuple[str, ...] = FIRST_NAMES, last_names: tuple[str, ...] = LAST_NAMES) -> DataFrame:
     """(table_name, column_name, label): the first rule that holds; floating-point columns have none.
 

@@ -35,7 +35,22 @@ def slice_of(spark: SparkSession, sf_dir: str, rests: tuple[int, ...]) -> DataFr
     return spark.read.parquet(f"{sf_dir}/orders.parquet").where((F.col("o_orderkey") % 4).isin(*rests)).select(*ORDER_COLUMNS)
 
 
+_LAKES: dict[tuple[str, str, str], Lake] = {}
+
+
+def remembered(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], Lake]) -> Lake:
+    """A lake of this session, whose index of values is built once for all queries."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _LAKES or _LAKES[key].spark is not spark:
+        _LAKES[key] = build()
+    return _LAKES[key]
+
+
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
+    return remembered(spark, "slices", sf_dir, lambda: _lake(spark, sf_dir))
+
+
+def _lake(spark: SparkSession, sf_dir: str) -> Lake:
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     return Lake(spark, {"orders_a": slice_of(spark, sf_dir, (0, 1)), "orders_b": slice_of(spark, sf_dir, (1, 2)), "customer": read("customer"), "nation": read("nation"), "supplier": read("supplier")})
 
@@ -94,7 +109,8 @@ _MAPPED = f"WITH RECURSIVE {_PAIRS}" + _greedy("(SELECT * FROM pairs WHERE jacca
 
 def _domains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     whole = lake(spark, sf_dir)
-    return Lake(spark, {"orders_a": whole.table("orders_a")}).domains(), Lake(spark, {n: whole.table(n) for n in whole.names() if n != "orders_a"}).domains()
+    whole.values()
+    return whole.domains().where("table_name = 'orders_a'"), whole.domains().where("table_name != 'orders_a'")
 
 
 # ---- sources ----------------------------------------------------------------------------------------------------
@@ -248,12 +264,12 @@ _PROFILES = _DOM + ", prof AS (SELECT table_name, column_name, dtype, count(*) A
 
 @query(f"WITH {_PROFILES} SELECT table_name, column_name, dtype, n_rows, n_values, n_distinct, round(key_score, 9) AS key_score FROM prof")
 def column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiling.column_profiles(lake(spark, sf_dir).cells()).withColumn("key_score", F.round("key_score", 9))
+    return profiling.value_profiles(lake(spark, sf_dir).values()).withColumn("key_score", F.round("key_score", 9))
 
 
 @query(f"WITH {_PROFILES} SELECT table_name, column_name, round(key_score, 9) AS key_score FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY key_score DESC, column_name) AS rn FROM prof WHERE dtype <> 'double') WHERE rn = 1")
 def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiling.candidate_keys(profiling.column_profiles(lake(spark, sf_dir).cells())).select("table_name", "column_name", r9("key_score"))
+    return profiling.candidate_keys(profiling.value_profiles(lake(spark, sf_dir).values())).select("table_name", "column_name", r9("key_score"))
 
 
 def _registry(spark: SparkSession, sf_dir: str, rests: tuple[int, ...]) -> DataFrame:

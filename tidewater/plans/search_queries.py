@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import provenance, sketch
 from tidewater.plans import candidates, search
-from tidewater.plans.queries import _CODE, _MAPDIST_SQL, _STAR_SQL, _greedy, _stars, _values, query, r9, with_holes
+from tidewater.plans.queries import _CODE, _MAPDIST_SQL, _STAR_SQL, _greedy, _stars, _values, query, r9, remembered, with_holes
 from tidewater.plans.tables import new_folder
 from tidewater.sources.lake import Lake
 from tidewater.sources.store import STATES, Store
@@ -34,6 +34,10 @@ _N_A = _SHAPES[QUERY][3]
 
 
 def whole_lake(spark: SparkSession, sf_dir: str) -> Lake:
+    return remembered(spark, "whole", sf_dir, lambda: _whole_lake(spark, sf_dir))
+
+
+def _whole_lake(spark: SparkSession, sf_dir: str) -> Lake:
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     return Lake(spark, {QUERY: with_holes(read("orders"))} | {n: read(n) for n in _SHAPES if n != QUERY})
 

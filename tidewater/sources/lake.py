@@ -38,6 +38,7 @@ class Lake:
         self.tables = {canonical(name): df.drop(ARTEFACT) for name, df in tables.items()}
         self.views = {name: df.drop(ARTEFACT) for name, df in (views or {}).items()}
         self._values: DataFrame | None = None
+        self._staged = ""
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str, names: list[str]) -> Lake:
@@ -84,14 +85,15 @@ class Lake:
         return _union(parts)
 
     def values(self) -> DataFrame:
-        """(table_name, column_name, pos, dtype, value, n), staged in the shared folder at first use. Nulls are counted as well."""
-        from tidewater.plans.tables import new_folder
+        """(table_name, column_name, pos, dtype, value, n), staged in the shared folder at first use, and again if it is gone.
+        Nulls are counted as well."""
+        from tidewater.plans.tables import exists, new_folder
 
-        if self._values is None:
+        if self._values is None or not exists(self.spark, self._staged):
             counted = self.cells().groupBy("table_name", "column_name", "pos", "dtype", "value").agg(F.count(F.lit(1)).alias("n"))
-            path = new_folder(self.spark, "values")
-            counted.write.parquet(path)
-            self._values = self.spark.read.schema(counted.schema).parquet(path)
+            self._staged = new_folder(self.spark, "values")
+            counted.write.parquet(self._staged)
+            self._values = self.spark.read.schema(counted.schema).parquet(self._staged)
         return self._values
 
     def columns(self) -> DataFrame:
