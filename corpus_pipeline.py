@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, langid, neardup, packing, secrets
+from tidewater.llm.common import marked
 from tidewater.llm.common import stage as staged
 from tidewater.llm.queries import END_OF_PIECE, table, tokenizer
 
@@ -33,12 +34,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: that of the smallest doc_id, and of repeated doc_ids one row. Rows without doc_id all stay."""
-    classes = neardup.near_duplicates(docs)
-    stay = staged(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "stay")
-    kept = docs.join(stay.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    if not (again := stay.where("n > 1")).isEmpty():  # repeated doc_ids
-        kept = kept.unionByName(docs.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    classes = neardup.near_duplicates(docs).where("doc_id is not null")
+    ids = staged(classes.groupBy(F.col("doc_id").alias("id")).agg(F.max("class_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "ids")
+    rows, other = marked(docs, "doc_id", ids.where("id != class_id or n > 1"))
+    kept = rows.where(~other).select(*names)
+    if not (again := ids.where("id = class_id and n > 1")).isEmpty():  # repeated doc_ids
+        rows, several = marked(docs, "doc_id", again)
+        kept = kept.unionByName(rows.where(several).select(*names).dropDuplicates(["doc_id"]))
+    return kept
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

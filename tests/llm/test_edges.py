@@ -9,7 +9,9 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import common, decontaminate, langid, neardup, quality, secrets, substrings, warc
 from tidewater.llm.queries import QUERIES
@@ -257,3 +259,80 @@ def test_pipeline_keeps_columns_named_like_results(spark, sf):
         assert out.columns == docs.columns, name
         got = out.collect()
         assert got and all(r[x] == f"own {x}" for r in got for x in names), name
+
+
+def test_pipeline_drops_near_duplicates_without_moving_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [" ".join(f"w{k}x{j}" for j in range(80)) for k in range(40)]
+    rows = [(k, words[k % 30], k) for k in range(60)] + [(7, words[31], 100), (7, words[32], 101), (200, words[33], 102), (200, words[34], 103), (None, words[0], 104), (None, None, 105), (300, None, 106)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    table.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter([*range(30), 200, 300, None, None])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for docs in (table, spark.read.parquet(str(tmp_path / "documents.parquet"))):  # rows without a place in a file, and with one
+            got = corpus_pipeline.near_duplicates(spark, docs, "")
+            assert got.columns == docs.columns
+            assert Counter(r.doc_id for r in got.collect()) == want
+        single = docs.where("doc_id is null or doc_id not in (7, 37, 200)")
+        found = corpus_pipeline.near_duplicates(spark, single, "")
+        assert Counter(r.doc_id for r in found.collect()) == want - Counter([7, 200])
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_marked_keys_equal_a_semi_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "LISTED", 7)
+    path = str(tmp_path / "rows")
+    spark.range(1000).selectExpr("if(id % 11 = 0, null, id % 300) as k", "id as n").repartition(3).write.parquet(path)
+    ids = spark.range(0, 300, 4)
+    want = {r.n for r in spark.read.parquet(path).collect() if r.k is not None and r.k % 4 == 0}
+    read = spark.read.parquet(path)
+    for docs in (read, read.select("n", "k"), read.union(read.limit(0)), read.join(ids.limit(0), F.lit(False), "left").select("k", "n"), read.withColumn("_metadata", F.lit(1))):
+        rows, condition = common.marked(docs, "k", ids)
+        got = [r.n for r in rows.where(condition).collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert rows.where(~condition).count() == 1000 - len(want)
+
+
+def test_workers_drop_tables_of_other_operators(spark):
+    from tidewater.llm import tokenizing
+    from tidewater.llm.queries import tokenizer
+
+    class Rows:
+        def mapInArrow(self, function, schema):
+            self.function = function
+            return self
+
+    rows = Rows()
+    rows.sparkSession = spark
+    neardup._sign(rows)
+    tokenizing.encoder(tokenizer("byte_bpe_50k.json")).ids("some words")
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a few words"])], names=["id", "t"])
+    assert [b.num_rows for b in rows.function(iter([batch]))] == [1]
+    assert not tokenizing._ENCODERS
+
+
+def test_shuffle_files_go_when_a_table_is_staged(spark, tmp_path):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    kept = spark.range(1000).repartition(3, "id")
+    before = {*re.findall(r"\d+", str(tracker.shuffleStatuses().keys()))}
+    common.stage(kept, "kept")
+    time.sleep(1)
+    assert {*re.findall(r"\d+", str(tracker.shuffleStatuses().keys()))} <= before
+    assert spark.conf.get(common._CLEANUP) == "false"
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    texts = spark.range(64).selectExpr("id", "repeat(md5(cast(id as string)), 1 << 15) as text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    langid.identify(spark.createDataFrame([(1, "a")], "id long, text string"), langid.Model((), np.zeros(0), np.zeros((0, langid.BUCKETS), np.float32)))
+    seen = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert len(seen) > 2 and max(seen) <= 2 * common.BATCH_BYTES

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import LOWER, PLAIN, normalise, private, remove, shared_path, slices, stage, utf8, word_bounds
+from tidewater.llm.common import LOWER, PLAIN, mapped, normalise, private, remove, shared_path, slices, stage, utf8, word_bounds
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -158,12 +158,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     block, room = next(blocks, None), None
     while (following := next(blocks, None)) is not None:
         sent, before, after = share(block), room, shared_path(spark, "scanned")
-        docs = stage(docs.mapInArrow(step(sent, uuid.uuid4().hex), T.StructType([*kinds, *carried])), "block", after)
+        docs = stage(mapped(docs, step(sent, uuid.uuid4().hex), T.StructType([*kinds, *carried])), "block", after)
         sent.destroy()
         if before:
             remove(spark, before)
         block, room = following, after
-    return docs.mapInArrow(last(share(block), uuid.uuid4().hex), T.StructType([*kinds, *ADDED]))
+    return mapped(docs, last(share(block), uuid.uuid4().hex), T.StructType([*kinds, *ADDED]))
 
 
 def _spans(raw: bytes, runs: list[int]) -> list[dict]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import U64, least_hashed, mix, slices
+from tidewater.llm.common import U64, least_hashed, mapped, mix, slices
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -144,7 +144,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
             at, bucket = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], pa.string()), pa.array(bucket), pa.array(sums[at, bucket])], names=["label", "bucket", "n"])
 
-    counted = sample.select("label", "text").mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    counted = mapped(sample.select("label", "text"), count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     got: dict[str, np.ndarray] = {}
     for r in counted.toLocalIterator():
         if r["label"] not in got:
@@ -196,4 +196,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str
             names, scores = score(shared.value, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, prediction, probability])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import LOWER, PLAIN, U64, mix, normalise, remove, rows_of, shared_path, slices, stage, utf8, window_hashes, window_starts, word_bounds, word_hashes
+from tidewater.llm.common import LOWER, PLAIN, U64, listed, mapped, mix, normalise, remove, rows_of, shared_path, shuffles_end, slices, stage, utf8, window_hashes, window_starts, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 6
@@ -162,18 +162,21 @@ def _sign(rows: DataFrame) -> DataFrame:
                 keys[k] = np.append(keys[k], more)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_digests(batch.column(1)), pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "keys"])
 
-    return rows.mapInArrow(run, "id long, digest binary, keys array<long>")
+    return mapped(rows, run, "id long, digest binary, keys array<long>")
 
 
 def _contents(texts: DataFrame, ids: DataFrame, name: str, room: str) -> DataFrame:
     """(id, h, n, sig, plain) of the texts whose id is in ``ids``: shingle hashes, their counts (empty if all are 1),
     registers, and registers with all weights 1 (empty if all counts are).
 
-    Texts move once; the table is bucketed by id, so later joins on id move the other side only.
+    Texts do not move, their shingles do once; the table is bucketed by id, so later joins on id move the other side only.
     """
 
+    rows, part, lists = listed(texts, "id", ids, room)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", SLICE):
+        wanted = (batch.filter(lists(batch.column(2), batch.column(0))) for batch in batches)
+        for batch in slices(wanted, "t", SLICE):
             row, h, n = shingles(batch.column(1))
             sig = signatures(row, h, n, batch.num_rows)
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
@@ -187,8 +190,9 @@ def _contents(texts: DataFrame, ids: DataFrame, name: str, room: str) -> DataFra
 
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = texts.join(ids, "id", "left_semi").select("id", "t").mapInArrow(run, "id long, h binary, n binary, sig binary, plain binary")
-    made.repartition(n, "id").write.bucketBy(n, "id").option("path", f"{room}/shingles").saveAsTable(name)
+    made = mapped(rows.select("id", "t", part.alias("part")), run, "id long, h binary, n binary, sig binary, plain binary")
+    with shuffles_end(spark):
+        made.repartition(n, "id").write.bucketBy(n, "id").option("path", f"{room}/shingles").saveAsTable(name)
     return spark.table(name)
 
 
@@ -216,7 +220,7 @@ def _verified(pairs: DataFrame, content: DataFrame, threshold: float, room: str)
             kept = [similarity(unpack(x), unpack(y)) >= threshold - 1e-9 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links", room)
+    return stage(mapped(both.select("a", "b", "x", "y"), run, "a long, b long"), "links", room)
 
 
 def _relabel(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
@@ -380,9 +384,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     several = placed.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
     ties = stage(placed.join(several, "id").select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")).where("a != b").distinct(), "ties", room)
     ids = heads.select(F.col("node").alias("id")).distinct()
-    texts = known.join(ids, "id", "left_semi")
     try:
-        roots = _classes(texts, signed.where("keys is not null").join(ids, "id", "left_semi"), ties, threshold, star_rounds, name, room)
+        roots = _classes(known, signed.where("keys is not null").join(ids, "id", "left_semi"), ties, threshold, star_rounds, name, room)
         classes = stage(_relabel(placed, "node", roots).select(F.col("id").alias(doc_id), F.col("node").alias("class_id")), "classes")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

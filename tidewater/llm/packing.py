@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import slices, stage
+from tidewater.llm.common import mapped, slices, stage
 from tidewater.llm.tokenizing import encoder
 
 CAPACITY = 2048
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str,
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "own_rank", *["ids"] * keep_ids]
     schema = T.StructType([T.StructField(n, T.BinaryType() if n == "ids" else T.LongType()) for n in names])
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t")), run, schema, "encoders")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -157,4 +157,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *map(pa.array, placed)], names=[*names, "sequence_id", "offset", "padded_length"])
 
     schema = T.StructType([*(cut.schema[n] for n in names), *(T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", "padded_length"))])
-    return ranked.mapInArrow(place, schema)
+    return mapped(ranked, place, schema, "encoders")

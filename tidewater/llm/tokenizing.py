@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidewater.llm.common import TABLES
+
 #: Chunks that a worker keeps, and the longest that it keeps.
 KEPT, KEPT_CHARS = 500_000, 64
 #: Ids of kept chunks after which a worker forgets them.
@@ -193,7 +195,7 @@ class Encoder:
 _ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BEYOND = re.compile("[\x00ɐ-\U0010ffff]")
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = TABLES.setdefault("encoders", {})
 
 
 def encoder(path: str) -> Encoder:
