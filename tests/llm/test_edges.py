@@ -336,3 +336,14 @@ def test_batches_of_long_texts_are_bounded(spark):
     langid.identify(spark.createDataFrame([(1, "a")], "id long, text string"), langid.Model((), np.zeros(0), np.zeros((0, langid.BUCKETS), np.float32)))
     seen = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
     assert len(seen) > 2 and max(seen) <= 2 * common.BATCH_BYTES
+
+
+def test_substrings_leave_no_shuffle_files(spark):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    before = {*re.findall(r"\d+", str(tracker.shuffleStatuses().keys()))}
+    found = substrings.remove_repeats(docs)
+    time.sleep(1)
+    assert {*re.findall(r"\d+", str(tracker.shuffleStatuses().keys()))} <= before
+    assert [r.n_removed for r in found.collect()] == [60, 60]

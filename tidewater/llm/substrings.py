@@ -29,7 +29,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import types as T
 
-from tidewater.llm.common import SPACED, U64, filesystem, normal_uri, rows_of, shared_path, utf8, window_hashes, window_starts, window_table, word_bounds, word_hashes
+from tidewater.llm.common import SPACED, U64, filesystem, mapped, normal_uri, rows_of, shared_path, shuffles_end, utf8, window_hashes, window_starts, window_table, word_bounds, word_hashes
 
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 WIDTH = 35
@@ -96,7 +96,8 @@ def _repeated(reports: DataFrame, keys: list[str], path: str) -> None:
     hot = reports.withColumn("total", F.sum("n").over(Window.partitionBy(*keys))).where("total > 1")
     # dealt by part, so that each part has one file, however many tasks there are
     hot = hot.select("chunk", "p", F.shiftright("chunk", 32).alias("part")).repartition("part")
-    hot.groupBy("part", "chunk").agg(F.collect_list("p").alias("found")).write.partitionBy("part").parquet(path)
+    with shuffles_end(reports.sparkSession):
+        hot.groupBy("part", "chunk").agg(F.collect_list("p").alias("found")).write.partitionBy("part").parquet(path)
 
 
 class _Found:
@@ -143,7 +144,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
 
     # Staged once: chunk numbers stay as they are, whatever is run again later.
     staged_path = shared_path(spark, "chunks")
-    own.mapInArrow(chunk, chunk_schema).write.parquet(staged_path)
+    mapped(own, chunk, chunk_schema).write.parquet(staged_path)
     staged = spark.read.schema(chunk_schema).parquet(staged_path)
 
     def report_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
 
     texts = staged.select("chunk", F.col("rows.t").alias("t"))
     anchors, windows = shared_path(spark, "anchors"), shared_path(spark, "windows")
-    _repeated(texts.mapInArrow(report_anchors, "chunk long, p int, h long, n int"), ["h"], anchors)
+    _repeated(mapped(texts, report_anchors, "chunk long, p int, h long, n int"), ["h"], anchors)
 
     def report_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Found(anchors)
@@ -169,7 +170,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
                 columns = [pa.array(np.full(len(a), number)), _ints(position[place]), pa.array(a.view(np.int64)), pa.array(b), _ints(np.minimum(n, 2))]
                 yield pa.RecordBatch.from_arrays(columns, names=["chunk", "p", "a", "b", "n"])
 
-    _repeated(texts.mapInArrow(report_windows, "chunk long, p int, a long, b int, n int"), ["a", "b"], windows)
+    _repeated(mapped(texts, report_windows, "chunk long, p int, a long, b int, n int"), ["a", "b"], windows)
 
     schema = T.StructType([*row["o"].dataType.fields] if others else []).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_text", T.StringType()).add("kept_sha256", T.StringType())
 
@@ -189,7 +190,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
                     drop = np.cumsum(change)[:-1] > 0
                 yield _kept(rows.field("o") if others else None, words, drop, names)
 
-    return staged.mapInArrow(remove, schema)
+    return mapped(staged, remove, schema)
 
 
 def _ints(x: np.ndarray) -> pa.Array:
