@@ -347,3 +347,50 @@ def test_substrings_leave_no_shuffle_files(spark):
     time.sleep(1)
     assert {*re.findall(r"\d+", str(tracker.shuffleStatuses().keys()))} <= before
     assert [r.n_removed for r in found.collect()] == [60, 60]
+
+
+def test_substrings_pack_the_hashes_of_a_chunk(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages() -> dict:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    texts = [" ".join(f"w{k + 700 * (n // 2)}" for k in range(1000)) for n in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8, "doc_id")
+    before = stages()
+    found = substrings.remove_repeats(docs)
+    got = {r.doc_id: r.n_removed for r in found.collect()}
+    # the JVM reads a list of files again, and no texts
+    assert re.findall(r"ReadSchema: struct<([^>]*)>", found._jdf.queryExecution().executedPlan().toString()) in (["part:bigint,name:string"], ["part:bigint,name:string"] * 2)
+    windows = Counter(w for t in texts for w in zip(*[t.split()[i:] for i in range(35)], strict=False))
+    for n, t in enumerate(texts):
+        words = t.split()
+        drop = {j for i in range(len(words) - 34) if windows[tuple(words[i : i + 35])] > 1 for j in range(i, i + 35)}
+        assert got[n] == len(drop)
+    # at most a row for each of 8 chunks and each bucket, a few times over; 40,000 windows are repeated
+    assert sum(n for k, n in stages().items() if k not in before) < 1000
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 50])
+def test_packed_places_are_those_of_repeated_hashes(buckets):
+    rng = np.random.default_rng(buckets)
+    reports, want, total = [], set(), Counter()
+    for chunk in range(5):
+        a, b = rng.choice(np.arange(1, 60, dtype=np.uint64) << np.uint64(58), 12), np.zeros(12, np.uint64)
+        b[:] = (a >> np.uint64(60)) + np.uint64(chunk // 4) << np.uint64(32)  # the last chunk differs in these bits only
+        reports.append((chunk, np.arange(12) + 10 * chunk, a, b))
+        total.update(zip(a.tolist(), b.tolist(), strict=True))
+    batches = [x for chunk, p, a, b in reports for x in substrings._reports(chunk, p, a, b, buckets)]
+    for chunk, p, a, b in reports:
+        seen = {}
+        for k in range(12):
+            seen.setdefault((int(a[k]), int(b[k])), int(p[k]))
+        want |= {(chunk, place) for key, place in seen.items() if total[key] > 1}
+    rows = pa.Table.from_batches(batches)
+    got = set()
+    for bucket in set(rows.column("bucket").to_pylist()):
+        out = substrings._met_again(rows.filter(pa.compute.equal(rows.column("bucket"), bucket)))
+        got |= {(r["chunk"], p) for r in out.to_pylist() for p in np.frombuffer(r["places"], np.int32).tolist()}
+    assert got == want
