@@ -32,21 +32,14 @@ RETURNED = 10
 COMPONENTS = ["table_name", "keys", "n_a", "n_b", "mapped", "col_sim", "row_sim", "new_col_rate", "new_row_rate", "nan_delta"]
 
 
-def column_stats(lake: Lake) -> DataFrame:
-    """(table_name, column_name, rows, held, ones): rows, non-null cells, and values that stand once, from the lake's values."""
-    held = F.col("value").isNotNull()
-    return lake.values().groupBy("table_name", "column_name").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(held, F.col("n"))), F.lit(0)).alias("held"))
-
-
 def mapped_pairs(lake: Lake, query: str, candidates: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """Mapped column pairs of the query with every candidate, from the lake's values: table_b, col_a, col_b, dtype, jaccard,
-    both, n_a, rows and held of either side. Staged, as the steps of a search read it several times."""
-    lake.values()
-    domains = lake.domains()
+    """Mapped column pairs of the query with every candidate, from the lake's classes of values: table_b, col_a, col_b, dtype,
+    jaccard, both, n_a, rows and held of either side. Staged, as the steps of a search read it several times."""
+    domains = lake.classes()
     a, b = domains.where(F.col("table_name") == query), domains.where(F.col("table_name").isin(*candidates))
     scored = similar_pairs(a, b)
     mapping = greedy(scored, ["table_a", "table_b"], "col_a", "col_b", "jaccard", ("pos_a", "pos_b"), threshold).drop("jaccard")
-    stats = lambda s: column_stats(lake).select(F.col("table_name").alias(f"table_{s}"), F.col("column_name").alias(f"col_{s}"), F.col("rows").alias(f"rows_{s}"), F.col("held").alias(f"held_{s}"))
+    stats = lambda s: lake.held().select(F.col("table_name").alias(f"table_{s}"), F.col("column_name").alias(f"col_{s}"), F.col("rows").alias(f"rows_{s}"), F.col("held").alias(f"held_{s}"))
     pairs = mapping.join(scored, ["table_a", "col_a", "table_b", "col_b"]).join(stats("a"), ["table_a", "col_a"]).join(stats("b"), ["table_b", "col_b"])
     return settle(pairs.select("table_b", "col_a", "pos_a", "col_b", "dtype", "jaccard", "both", "n_a", "rows_a", "held_a", "rows_b", "held_b"))
 
