@@ -20,18 +20,36 @@ def _pairs(a: DataFrame, b: DataFrame, mapping: dict[str, str], key: str, one_a:
     other = [c for c in mapping if c != key]
     x = a.select(F.col(f"`{key}`").alias("k"), *(F.col(f"`{c}`").alias(f"a_{c}") for c in other)).where("k is not null")
     y = b.select(F.col(f"`{mapping[key]}`").alias("k"), *(F.col(f"`{mapping[c]}`").alias(f"b_{c}") for c in other)).where("k is not null")
+    # the sides are as large as the tables: none is gathered on the driver
     if one_a:
-        x = x.join(values_once(a, key), "k")
+        x = x.join(values_once(a, key).hint("merge"), "k")
     if one_b:
-        y = y.join(values_once(b, mapping[key]), "k")
-    return x.join(y, "k")
+        y = y.join(values_once(b, mapping[key]).hint("merge"), "k")
+    return x.join(y.hint("merge"), "k")
 
 
 def _ratios(a: DataFrame, b: DataFrame, mapping: dict[str, str], key: str) -> DataFrame:
-    """One row: distinct share of the key in each table and the number of its values in both together."""
-    union = a.select(F.col(f"`{key}`").alias("v")).unionByName(b.select(F.col(f"`{mapping[key]}`").alias("v"))).where("v is not null").agg(F.countDistinct("v").alias("n_union"))
-    one = lambda d, c, n: d.agg(F.coalesce(F.try_divide(F.countDistinct(f"`{c}`"), F.count(F.lit(1))), F.lit(0.0)).alias(n))
-    return one(a, key, "ratio_a").crossJoin(one(b, mapping[key], "ratio_b")).crossJoin(union)
+    """One row: distinct share of the key in each table, the number of its values in both together, those that stand once in
+    each, those that stand once in one, and whether all do. The rows of both tables are counted by value in one grouping."""
+    side = lambda d, c, x, y: d.select(F.col(f"`{c}`").alias("v"), F.lit(x).cast("long").alias("a"), F.lit(y).cast("long").alias("b"))
+    counts = side(a, key, 1, 0).unionByName(side(b, mapping[key], 0, 1)).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    held = F.col("v").isNotNull()
+    share = lambda s: F.coalesce(F.try_divide(F.count_if(held & (F.col(s) > 0)), F.sum(s)), F.lit(0.0)).alias(f"ratio_{s}")
+    once = lambda s: ~F.coalesce(F.bool_or(held & (F.col(s) > 1)), F.lit(False))
+    return counts.agg(share("a"), share("b"), F.count_if(held).alias("n_union"), F.count_if(held & (F.col("a") == 1) & (F.col("b") == 1)).alias("n_pairs"), once("a").alias("once_a"), once("b").alias("once_b"), F.coalesce(F.sum("a"), F.lit(0)).alias("rows_a"))
+
+
+def key_statistics(a: DataFrame, b: DataFrame, mapping: dict[str, str], candidates: list[str] | None = None, key_threshold: float = 0.01) -> list:
+    """The candidates that hold as keys: one row each of (key, ratio, n_pairs, once_a, once_b, rows_a).
+
+    They hold by their own values, whatever the other columns are, so only key columns are read and shuffled here. One row a
+    candidate comes to the driver, as many as a table has columns.
+    """
+    out = None
+    for key in key_candidates(a, mapping) if candidates is None else candidates:
+        row = _ratios(a, b, mapping, key).select(F.lit(key).alias("key"), F.try_divide("n_pairs", "n_union").alias("ratio"), F.least("ratio_a", "ratio_b").alias("least"), "n_pairs", "once_a", "once_b", "rows_a")
+        out = row if out is None else out.unionByName(row)
+    return [] if out is None else out.where((F.col("ratio") >= key_threshold) & (F.col("least") >= key_threshold)).collect()
 
 
 def _depending(names: list[str], share_of: str, threshold: float) -> Column:
@@ -39,27 +57,33 @@ def _depending(names: list[str], share_of: str, threshold: float) -> Column:
     return F.array_sort(F.filter(F.array(*(F.when(F.col(f"e_{c}") > threshold * F.col(share_of), F.lit(c)) for c in names)).cast("array<string>"), lambda c: c.isNotNull()))
 
 
-def detect_key(a: DataFrame, b: DataFrame, mapping: dict[str, str], candidates: list[str] | None = None, key_threshold: float = 0.01, dependent_threshold: float = 0.01) -> DataFrame:
+def detect_key(a: DataFrame, b: DataFrame, mapping: dict[str, str], candidates: list[str] | None = None, key_threshold: float = 0.01, dependent_threshold: float = 0.01, held: list | None = None, fills: bool = False) -> DataFrame:
     """(key_a, key_b, n_pairs, ratio, dependents, equal_cells) of the keys that hold, best first.
 
     Rows pair where the key's value stands exactly once in each table. A key holds if its values are distinct enough in
     both tables and its pairs are a large enough share of all values; a mapped column depends on it if it is equal on
-    more than the threshold's share of pairs; the key with most equal cells is best. Each candidate is a branch of one
-    plan, as many as a table has columns.
+    more than the threshold's share of pairs; the key with most equal cells is best. Whole rows are paired only by keys that
+    hold, each a branch of one plan.
+
+    ``held``: the rows of key_statistics, if they are known. ``fills`` adds nan_delta: the cells null or NaN in a that b fills
+    over these pairs, as a share of all cells of a.
     """
     out = None
-    for key in key_candidates(a, mapping) if candidates is None else candidates:
+    gone = lambda d, c, n: F.col(n).isNull() | F.isnan(n) if d.schema[c].dataType.typeName() in ("double", "float") else F.col(n).isNull()
+    for own in key_statistics(a, b, mapping, candidates, key_threshold) if held is None else held:
+        key = own["key"]
         other = [c for c in mapping if c != key]
         same = [F.coalesce(F.sum(F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")).cast("int")), F.lit(0)).alias(f"e_{c}") for c in other]
-        found = _pairs(a, b, mapping, key, True, True).agg(F.count(F.lit(1)).alias("n_pairs"), *same).crossJoin(_ratios(a, b, mapping, key))
+        filled = sum((F.when(gone(a, c, f"a_{c}") & ~gone(b, mapping[c], f"b_{c}"), 1).otherwise(0) for c in other), F.lit(0))
+        found = _pairs(a, b, mapping, key, not own["once_a"], not own["once_b"]).agg(F.lit(own["n_pairs"]).cast("long").alias("n_pairs"), *same, F.coalesce(F.sum(filled), F.lit(0)).alias("filled"))
         row = found.select(
-            F.lit(key).alias("key_a"), F.lit(mapping[key]).alias("key_b"), "n_pairs", F.try_divide("n_pairs", "n_union").alias("ratio"), _depending(other, "n_pairs", dependent_threshold).alias("dependents"),
-            sum((F.col(f"e_{c}") for c in other), F.lit(0)).cast("long").alias("equal_cells"), F.least("ratio_a", "ratio_b").alias("least"),
+            F.lit(key).alias("key_a"), F.lit(mapping[key]).alias("key_b"), "n_pairs", F.lit(own["ratio"]).alias("ratio"), _depending(other, "n_pairs", dependent_threshold).alias("dependents"),
+            sum((F.col(f"e_{c}") for c in other), F.lit(0)).cast("long").alias("equal_cells"), (F.col("filled") / F.lit(max(own["rows_a"] * len(a.columns), 1))).alias("nan_delta"),
         )
         out = row if out is None else out.unionByName(row)
     if out is None:
-        return a.sparkSession.createDataFrame([], "key_a string, key_b string, n_pairs long, ratio double, dependents array<string>, equal_cells long")
-    return out.where((F.col("ratio") >= key_threshold) & (F.col("least") >= key_threshold)).drop("least").orderBy(F.desc("equal_cells"), "key_a")
+        out = a.sparkSession.createDataFrame([], "key_a string, key_b string, n_pairs long, ratio double, dependents array<string>, equal_cells long, nan_delta double")
+    return (out if fills else out.drop("nan_delta")).orderBy(F.desc("equal_cells"), "key_a")
 
 
 def detect_foreign_key(a: DataFrame, b: DataFrame, mapping: dict[str, str], candidates: list[str] | None = None, key_threshold: float = 0.1, dependent_threshold: float = 0.05, prune: float = 0.5) -> DataFrame:
@@ -76,7 +100,7 @@ def detect_foreign_key(a: DataFrame, b: DataFrame, mapping: dict[str, str], cand
             pairs = _pairs(a, b, mapping, key, side == "a", side == "b")
             any_ = pairs.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *(F.max(F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")).cast("int")).alias(f"e_{c}") for c in other))
             total = any_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.count(F.lit(1)).alias("n_keys"), *(F.coalesce(F.sum(f"e_{c}"), F.lit(0)).alias(f"e_{c}") for c in other))
-            row = total.crossJoin(ratios).select(
+            row = total.crossJoin(ratios.select("n_union", "ratio_a", "ratio_b")).select(
                 F.lit(key).alias("key_a"), F.lit(mapping[key]).alias("key_b"), F.lit(side).alias("unique_side"), "n_pairs", F.try_divide("n_keys", "n_union").alias("ratio"),
                 _depending(other, "n_keys", dependent_threshold).alias("dependents"), sum((F.col(f"e_{c}") for c in other), F.lit(0)).cast("long").alias("equal_cells"), F.greatest("ratio_a", "ratio_b").alias("most"),
             )

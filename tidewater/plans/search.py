@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators import provenance
-from tidewater.operators.keys import detect_key
+from tidewater.operators.keys import detect_key, key_statistics
 from tidewater.operators.matching import THRESHOLD, greedy
 from tidewater.operators.similarity import column_similarity, new_column_rate, null_fills, similar_pairs
 from tidewater.plans.tables import settle
@@ -74,19 +74,27 @@ def random_access(lake: Lake, query: str, names: list[str], pairs: DataFrame, su
     maps: dict[str, list] = {n: [] for n in names}
     for r in sorted(pairs.where(F.col("table_b").isin(*names)).collect(), key=lambda r: r["pos_a"]):
         maps[r["table_b"]].append(r)
-    detected = None
-    for n, own in maps.items():
-        one = None if supplied else detect_key(a, lake.table(n), {r["col_a"]: r["col_b"] for r in own}).limit(1).select(F.lit(n).alias("table_name"), "key_a")
-        if one is not None:
-            detected = one if detected is None else detected.unionByName(one)
-    best = {} if detected is None else {r["table_name"]: [r["key_a"]] for r in detected.collect()}
-    rows, fills = [], None
+    best, fills = {}, None
+    if not supplied:
+        detected = None
+        for n, own in maps.items():
+            mapping = {r["col_a"]: r["col_b"] for r in own}
+            held = key_statistics(a, lake.table(n), mapping)
+            if len(held) == 1 and not with_nulls:
+                best[n] = [held[0]["key"]]
+            elif held:
+                one = detect_key(a, lake.table(n), mapping, held=held, fills=True).limit(1).select(F.lit(n).alias("table_name"), "key_a", "nan_delta")
+                detected = one if detected is None else detected.unionByName(one)
+        found = [] if detected is None else detected.collect()
+        best |= {r["table_name"]: [r["key_a"]] for r in found}
+        fills = lake.spark.createDataFrame([(r["table_name"], r["nan_delta"]) for r in found], "table_name string, nan_delta double") if with_nulls and found else None
+    rows = []
     for n, own in maps.items():
         b, by, n_a = lake.table(n), {r["col_a"]: r for r in own}, len(a.columns)
         keys = [k for k in supplied if k in by] if supplied else best.get(n, [])
         jaccard, fresh = max((by[k]["jaccard"] for k in keys), default=0.0), max((1 - by[k]["both"] / by[k]["rows_a"] for k in keys), default=0.0)
         rows.append((n, ",".join(keys), n_a, len(b.columns), len(own), column_similarity(n_a, len(b.columns), len(own)), jaccard, new_column_rate(n_a, len(own)), fresh))
-        if with_nulls and keys:
+        if with_nulls and supplied and keys:
             one = null_fills(a, b, (keys[0], by[keys[0]]["col_b"]), [(r["col_a"], r["col_b"]) for r in own], once=True).select(F.lit(n).alias("table_name"), "nan_delta")
             fills = one if fills is None else fills.unionByName(one)
     kind = "table_name string, keys string, n_a int, n_b int, mapped int, col_sim double, row_sim double, new_col_rate double, new_row_rate double"
