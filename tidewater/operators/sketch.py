@@ -120,14 +120,16 @@ def query_tuned(queries: DataFrame, query_bands: DataFrame, corpus_bands: DataFr
     return q.join(c, ["part_idx", "band_idx", "k", "prefix"]).select("q_table", "q_column", *KEY).distinct()
 
 
-def build(store, domains: DataFrame, num_hash: int = NUM_HASH, max_k: int = MAX_K, num_part: int = NUM_PART) -> DataFrame:
+def build(store, domains: DataFrame, num_hash: int = NUM_HASH, max_k: int = MAX_K, num_part: int = NUM_PART, without: list[str] | None = None) -> DataFrame:
     """Adds the tables of ``domains`` that the index in a store lacks; returns (table_name) of those added.
 
-    New columns get size partitions after the existing ones. Tables without a string column count as indexed as well.
+    New columns get size partitions after the existing ones. Tables without a string column count as indexed as well: those
+    that ``domains`` has values of, or that ``without`` names, where only string columns are given.
     Signatures are written first and the list of indexed tables last, so a run that failed is done again.
     """
     fresh = not_indexed(domains, store.read("indexed"))
-    added = [r["table_name"] for r in fresh.select("table_name").distinct().collect()]
+    named = not_indexed(domains.sparkSession.createDataFrame([(n,) for n in without or ()], "table_name string"), store.read("indexed"))
+    added = [r["table_name"] for r in fresh.select("table_name").unionByName(named).distinct().collect()]
     if not added:
         return store.read("indexed").limit(0)
     text = fresh.where("dtype = 'string'")
@@ -140,7 +142,8 @@ def build(store, domains: DataFrame, num_hash: int = NUM_HASH, max_k: int = MAX_
     bounds = partition_bounds(placed).select("part_idx", "upper", "num_domain")
     store.replace("bands", known.unionByName(own))
     store.replace("partitions", kept.unionByName(bounds))
-    return store.add_new("indexed", fresh.select("table_name").distinct(), ["table_name"]).where(F.col("table_name").isin(*added))
+    new = domains.sparkSession.createDataFrame([(n,) for n in added], "table_name string")
+    return store.add_new("indexed", new, ["table_name"]).where(F.col("table_name").isin(*added))
 
 
 def query(query_bands: DataFrame, corpus_bands: DataFrame, placed: DataFrame, tuned: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ HIT = ["q_column", "table_name", "column_name", "source"]
 def column_hits(lake: Lake, query: str, containment: float = 0.7, score: float = 0.5, num_hash: int = sketch.NUM_HASH, num_part: int = sketch.NUM_PART) -> DataFrame:
     """(q_column, table_name, column_name, source) of the columns of other tables that answer a column of the query table:
     string columns by the containment index, tuned for each partition and size, numbers by their distributions."""
-    values = lake.values()
+    lake.values(("string",))
     texts = lake.domains(("string",))
     banded = sketch.bands(sketch.signatures(texts, num_hash))
     others = texts.where(F.col("table_name") != query)
@@ -23,8 +23,8 @@ def column_hits(lake: Lake, query: str, containment: float = 0.7, score: float =
     tuned = sketch.tune(sketch.partition_bounds(placed), queries, containment, num_hash=num_hash)
     own = F.col("table_name") == query
     strings = sketch.query_tuned(queries, banded.where(own), banded.where(~own), placed, tuned)
-    numbers = values.where("dtype in ('long', 'double') and value is not null").select("table_name", "column_name", "dtype", F.col("value").cast("double").alias("x"), "n")
-    spread = distribution.ks_query(numbers.where(own), numbers.where(~own), score)
+    numbers = lake.numbers()
+    spread = distribution.ks_hits(numbers.where(own), numbers.where(~own), score)
     return strings.select("q_column", "table_name", "column_name", F.lit("containment").alias("source")).unionByName(
         spread.select(F.col("col_a").alias("q_column"), F.col("table_b").alias("table_name"), F.col("col_b").alias("column_name"), F.lit("distribution").alias("source"))
     )
