@@ -92,7 +92,8 @@ def registry_scores(cells: DataFrame, columns: DataFrame, registry: dict[str, Da
     named = registry["links"].select("attribute", F.col("column_name").alias("col_a"), F.lit(True).alias("linked")).distinct()
     pairs = new.join(known, "dtype").join(named, ["attribute", "col_a"], "left").where("linked or (n_a >= 5 and n_b >= 5)")
     distinct = cells.where("value is not null and dtype != 'double'").select(F.col("table_name").alias("table_a"), F.col("column_name").alias("col_a"), "dtype", "value").distinct()
-    shared = distinct.join(values.join(registry["attributes"].select("attribute", "dtype"), "attribute"), ["dtype", "value"]).groupBy("table_a", "col_a", "attribute").agg(F.count(F.lit(1)).alias("both"))
+    # both sides have a row a value: neither is gathered on the driver, however small it looks when compressed
+    shared = distinct.join(values.join(F.broadcast(registry["attributes"].select("attribute", "dtype")), "attribute").hint("merge"), ["dtype", "value"]).groupBy("table_a", "col_a", "attribute").agg(F.count(F.lit(1)).alias("both"))
     on = ["table_a", "col_a", "attribute"]
     scored = pairs.join(shared, on, "left").join(context_scores(columns, registry["neighbours"], registry["attributes"]), on, "left")
     context = F.when(F.col("seen") > 0, (F.col("seen") + 1) / (F.col("occurrences") + 1)).otherwise(F.lit(0.0))
@@ -116,7 +117,8 @@ def index_columns(cells: DataFrame, columns: DataFrame, registry: dict[str, Data
     fresh = column_profiles(cells).where(f"dtype = 'string' and n_distinct > {least}").join(mapped, ["table_name", "column_name"], "left_anti")
     fresh = fresh.select("table_name", "column_name", F.concat_ws(".", "table_name", "column_name").alias("attribute"))
     became = settle(mapped.unionByName(fresh))
-    own = cells.join(became, ["table_name", "column_name"])
+    # became has a row a column; without the hint cells, whose files are small when compressed, may be gathered instead
+    own = cells.join(F.broadcast(became), ["table_name", "column_name"])
     values = own.where("value is not null").groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n"))
     kinds = own.groupBy("attribute").agg(F.first("dtype").alias("dtype"), F.count("value").alias("n_values"), F.count_distinct("table_name").alias("occurrences"))
     beside = neighbour_schema(columns).join(became, ["table_name", "column_name"]).groupBy("attribute", "neighbours").agg(F.count(F.lit(1)).alias("n"))
